@@ -72,3 +72,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a small input whose few file splits would leave most cores idle before Python work.
+
+    Inputs with at least as many splits as cores are left alone, so a large scan is never shuffled for this.
+    """
+    cores = parallelism(df.sparkSession)
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
