@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm.duplicates import copy_groups, one_per_group
 from opinara.llm.language import identify, normal_label
+from opinara.llm.moderation import CASE, moderate
 from opinara.llm.quality import text_quality
 from opinara.sources.tables import table
 
@@ -32,6 +33,21 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     return seg.select("landing_id", F.coalesce("segment_no", F.lit(0)).alias("segment_no"), F.coalesce("s.lang", F.lit("und")).alias("lang"), F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), "s.seg_start", "s.seg_end")
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return moderate(table(spark, d, "reviews").select("landing_id", "raw_text"), table(spark, d, "moderation_samples"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= CASE).select("landing_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, whatever its spelling: reviews, cases and their rate."""
+    source = F.lower(F.trim(F.regexp_replace("source", "[-_]", "_")))
+    scored = _scores(spark, d).join(table(spark, d, "reviews").select("landing_id", source.alias("source_name")), "landing_id")
+    return scored.groupBy("source_name").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum((F.col("score") >= CASE).cast("bigint")).alias("n_cases"), F.round(F.avg((F.col("score") >= CASE).cast("double")), 6).alias("case_rate"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = copy_groups(table(spark, d, "reviews").select("landing_id", "raw_text", "source"))
     return rows.where("record_id <> first_id").select(F.col("first_id").alias("first_landing_id"), F.col("record_id").alias("landing_id"))
@@ -50,5 +66,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_segments, p6_found, p6_records, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_segments, p6_found, p6_records, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
