@@ -8,7 +8,8 @@ gave it as evidence.  Document frequencies come from the whole corpus.
 Words are read through common disguises (repeated letters, digits and signs for letters, spaced or starred letters).
 Words that only offending examples use weigh ``BOOST`` times as much; a capitalised word inside a sentence in ordinary
 case is a name or title and is left out unless the offending examples use it.  The examples are extended once by
-sentences of at most ``SELF_SAMPLE`` texts: those that score at least ``SELF_SCORE`` join their kind, and at most
+sentences of at most ``SELF_SAMPLE`` texts: those that score at least ``SELF_SCORE``
+with a neighbour of ``SELF_NEAREST`` join their kind, and at most
 ``SELF_NEGATIVES`` of those without any vote and any offending word join the harmless ones.
 
 The examples lie in a block-max index: sorted by kind, in blocks of ``BLOCK`` with the largest weight of every term.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +40,9 @@ NEIGHBOURS = 8
 BLOCK = 16
 MIN_SIMILARITY = 0.35
 PRIOR = 0.10
-CASE = 0.5
+CASE = 0.57
 EXAMPLE_LIMIT = 20_000
-SELF_SAMPLE, SELF_SCORE, SELF_NEGATIVES = 20_000, 0.85, 3_000
+SELF_SAMPLE, SELF_SCORE, SELF_NEAREST, SELF_ROUNDS, SELF_NEGATIVES = 20_000, 0.8, 0.72, 2, 3_000
 BOOST = 1.7
 UNSEEN = 0.6
 KINDS = ("abusive", "hateful", "sexual")
@@ -111,8 +113,8 @@ class Index:
             return k if k >= 0 else None
         return k
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, str | None, list[str]]]:
-        out: list[tuple[float, str | None, list[str]]] = [(0.0, None, [])] * len(texts)
+    def score(self, texts: list[str | None]) -> list[tuple[float, str | None, list[str], float]]:
+        out: list[tuple[float, str | None, list[str], float]] = [(0.0, None, [], 0.0)] * len(texts)
         ids, weights, sizes, owner, norms = [], [], [], [], []
         get = self.term
         for i, t in enumerate(texts):
@@ -161,17 +163,18 @@ class Index:
             if score[j] > 0 and score[j] >= out[i][0]:
                 near = [int(x) for x, v in zip(top[j], votes[j]) if v > 0 and bad[x]]
                 kind = max(KINDS, key=lambda k: sum(float(v) for x, v in zip(top[j], votes[j]) if self.kinds[x] == k))
-                out[i] = (float(score[j]), kind, [self.texts[x] for x in near[:3]])
+                out[i] = (float(score[j]), kind, [self.texts[x] for x in near[:3]], float(sims[j, near[0]]))
         return out
 
 
-def build(examples: list[tuple[str, str]], frequency: dict[str, int], n_docs: int) -> Index:
-    """The index of the distinct labelled examples; ``frequency`` counts the corpus texts with a term."""
+def build(examples: list[tuple[str, str]], frequency: dict[str, int], n_docs: int, common: frozenset[str] = frozenset()) -> Index:
+    """The index of the distinct labelled examples; ``frequency`` counts the corpus texts with a term, ``common`` are
+    words that are mostly used harmlessly."""
     distinct = sorted({(k not in KINDS, k, t) for k, t in examples if k and t and _WORD.search(t)})
     kinds, texts = [k for _, k, _ in distinct], [t for _, _, t in distinct]
     words = [plain_words(t) for t in texts]
     terms = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    harmless = {w for k, ws in zip(kinds, words) if k not in KINDS for w in ws}
+    harmless = {w for k, ws in zip(kinds, words) if k not in KINDS for w in ws} | common
     names = frozenset(w.lower() for k, t in zip(kinds, texts) if k in KINDS and not t.istitle() for w in _WORD.findall(t)[1:] if w[:1].isupper())
     n = max(1, n_docs)
     idf = np.array([math.log(1 + n / (1 + frequency.get(w, 0))) * (1.0 if w in harmless or w in names else BOOST) for w in terms], np.float32)
@@ -187,19 +190,26 @@ def build(examples: list[tuple[str, str]], frequency: dict[str, int], n_docs: in
     return Index(terms, idf, UNSEEN * float(np.median(idf)) if len(idf) else 1.0, m, top, positive, kinds, texts, names, {})
 
 
-def extend(index: Index, texts: list[str]) -> list[tuple[str, str]]:
-    """Further examples out of sample texts: sentences like the offending ones, and plainly harmless ones."""
+def trained(labelled: list[tuple[str, str]], texts: list[str], frequency: dict[str, int], n_docs: int) -> Index:
+    """The index over the labelled examples and those found in the sample texts."""
     pieces = sorted({p.strip(" ,-()") for t in texts for p in _BREAK.split(t) if 3 <= len(p.split()) <= WINDOW}, key=lambda p: hashlib.md5(p.encode()).digest())
-    harmless = {w for k, t in zip(index.kinds, index.texts) if k not in KINDS for w in plain_words(t)}
-    offending = {w for k, t in zip(index.kinds, index.texts) if k in KINDS for w in plain_words(t)} - harmless
-    bad, good = [], []
-    for p, (score, kind, _) in zip(pieces, index.score(pieces)):
-        words = plain_words(p)
-        if score >= SELF_SCORE and kind and not any("*" in w for w in words):
-            bad.append((kind, p))
-        elif score == 0 and len(good) < SELF_NEGATIVES and not offending.intersection(words):
-            good.append(("none", p))
-    return bad + good
+    split = [plain_words(p) for p in pieces]
+    index, known, common = build(labelled, frequency, n_docs), list(labelled), frozenset()
+    for _ in range(SELF_ROUNDS + 1):
+        used, offending = Counter(), Counter()
+        more = []
+        for p, ws, (score, kind, _, nearest) in zip(pieces, split, index.score(pieces)):
+            used.update(set(ws))
+            if score >= SELF_SCORE and nearest >= SELF_NEAREST and kind:
+                offending.update(set(ws))
+                if not any("*" in w for w in ws):
+                    more.append((kind, p))
+        common = frozenset(w for w, n in used.items() if offending[w] < 0.5 * n)
+        known = labelled + more
+        index = build(known, frequency, n_docs, common)
+    risky = {w for k, t in known if k in KINDS for w in plain_words(t)} - common - {w for k, t in known if k not in KINDS for w in plain_words(t)}
+    good = [("none", p) for p, ws, (score, *_) in zip(pieces, split, index.score(pieces)) if score < 0.1 and not any("*" in w for w in ws) and not risky.intersection(ws)]
+    return build(known + good[:SELF_NEGATIVES], frequency, n_docs, common)
 
 
 def moderate(rows: DataFrame, examples: DataFrame, id_col: str = "landing_id", text_col: str = "raw_text") -> DataFrame:
@@ -211,10 +221,8 @@ def moderate(rows: DataFrame, examples: DataFrame, id_col: str = "landing_id", t
     # the vocabulary is bounded by the labelled examples; counts are over all texts
     counted = seen.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect() if vocabulary else []
     frequency, n = {r["w"]: r["count"] for r in counted}, rows.count()
-    index = build(labelled, frequency, n)
     sample = rows.where(F.length(text_col) < 2000).select(text_col).orderBy(F.xxhash64(text_col)).limit(SELF_SAMPLE)
-    more = extend(index, [r[0] for r in sample.collect()])
-    index = build([*labelled, *more], frequency, n)
+    index = trained(labelled, [r[0] for r in sample.collect()], frequency, n)
     shared = spark.sparkContext.broadcast(index)
     kind = dict(rows.dtypes)[id_col]
 
