@@ -15,6 +15,7 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
@@ -81,3 +82,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = parallelism(df.sparkSession)
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def bounded_sample(df: DataFrame, column: str, rows: int) -> list:
+    """At most ``rows`` values of a column, chosen by their hash: the same for every partitioning, and bounded on the driver."""
+    n = df.count()
+    h = F.xxhash64(column)
+    if n > 4 * rows:  # about twice the wanted rows pass; the order below decides among them
+        df = df.where(F.pmod(h, F.lit(1 << 20)) < max(1, (2 * rows << 20) // n))
+    return [r[0] for r in df.select(column).orderBy(h, column).limit(rows).collect()]
