@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.runtime import spread
+from opinara.runtime import bounded_sample, spread
 
 SAMPLE_LIMIT = 20_000
 SELF_SAMPLE = 6_000
@@ -262,8 +262,8 @@ def identify(rows: DataFrame, samples: DataFrame, id_col: str = "landing_id", te
     labelled = [(r[0], r[1]) for r in samples.select("lang", "sample_text").limit(SAMPLE_LIMIT).collect()]
     model, cache = train(labelled), {}
     if label_col:
-        own = rows.select(normal_label(F.col(label_col)).alias("lang"), text_col).where(F.col("lang").isin(*LANGUAGES) & (F.length(text_col) < 2000))
-        for lang, text in own.orderBy(F.xxhash64(text_col)).limit(SELF_SAMPLE).collect():
+        own = rows.select(F.struct(normal_label(F.col(label_col)).alias("lang"), F.col(text_col).alias("text")).alias("x")).where(F.col("x.lang").isin(*LANGUAGES) & (F.length("x.text") < 2000))
+        for lang, text in bounded_sample(own, "x", SELF_SAMPLE):
             found = segments(text, model, cache)
             if len(found) == 1 and found[0][2] == lang and found[0][3] > 0.95:
                 labelled.append((lang, text))

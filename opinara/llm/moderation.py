@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.runtime import spread
+from opinara.runtime import bounded_sample, spread
 
 WINDOW, STRIDE = 12, 4
 NEIGHBOURS = 8
@@ -57,22 +57,32 @@ _REPEATED = re.compile(r"(.)\1{2,}")
 _SIGNS = str.maketrans("013457@$!", "oleastasi")
 
 
+class _Plain(dict):
+    """Token to lower-case word read through disguises; filled on demand."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 400_000:
+            self.clear()
+        w = token.lower()
+        if not w.isalpha() and not w.isdigit():
+            w = w.translate(_SIGNS)
+        self[token] = w = _REPEATED.sub(r"\1", w)
+        return w
+
+
+_PLAIN = _Plain()
+
+
 def plain_words(piece: str, names: frozenset[str] | None = None) -> list[str]:
     """Lower-case words of a sentence, read through disguises; ``*`` stays as a wildcard."""
-    if "." in piece or "-" in piece or "_" in piece or " " in piece:
+    if _DOTTED.search(piece):
         piece = _DOTTED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), piece)
     found = _TOKEN.findall(piece)
-    if names is not None and found:
-        small = sum(w[:1].islower() for w in found)
-        if small * 2 >= len(found):
-            found = [w for i, w in enumerate(found) if i == 0 or not w[:1].isupper() or w.lower() in names]
-    out = []
-    for w in found:
-        w = w.lower()
-        if not w.isalpha():
-            w = w.translate(_SIGNS) if not w.isdigit() else w
-        out.append(_REPEATED.sub(r"\1", w) if _REPEATED.search(w) else w)
-    return out
+    if names is not None and len(found) > 1 and not piece.islower():
+        large = [w for w in found if w[0].isupper()]
+        if len(large) > found[0][0].isupper() and 2 * sum(w[0].islower() for w in found) >= len(found):
+            found = found[:1] + [w for w in found[1:] if not w[0].isupper() or w.lower() in names]
+    return [_PLAIN[w] for w in found]
 
 
 def windows(text: str, names: frozenset[str] | None = None) -> list[list[str]]:
@@ -94,7 +104,7 @@ class Index:
     terms: dict[str, int]
     idf: np.ndarray
     unseen: float
-    weights: np.ndarray  # term x example
+    blocks: list[np.ndarray]  # term x example, by block
     block_max: np.ndarray  # term x block
     positive_blocks: np.ndarray
     kinds: list[str]
@@ -116,18 +126,18 @@ class Index:
     def score(self, texts: list[str | None]) -> list[tuple[float, str | None, list[str], float]]:
         out: list[tuple[float, str | None, list[str], float]] = [(0.0, None, [], 0.0)] * len(texts)
         ids, weights, sizes, owner, norms = [], [], [], [], []
-        get = self.term
+        get = self.terms.get
         for i, t in enumerate(texts):
             for words in windows(t, self.names) if t else ():
                 known = [k for w in words if (k := get(w)) is not None]
+                if len(known) < len(words):
+                    known += [k for w in words if "*" in w and w not in self.terms and (k := self.term(w)) is not None]
                 if not known:
                     continue
-                counts: dict[int, int] = {}
-                for k in known:
-                    counts[k] = counts.get(k, 0) + 1
-                ids += counts.keys()
-                weights += counts.values()
-                sizes.append(len(counts))
+                distinct = set(known)
+                ids += distinct
+                weights += [1] * len(known) if len(distinct) == len(known) else [known.count(k) for k in distinct]
+                sizes.append(len(distinct))
                 owner.append(i)
                 norms.append(len(words) - len(known))
         if not ids or not self.kinds:
@@ -145,17 +155,25 @@ class Index:
         ids, w = ids[rows], w[rows]
         bound = np.add.reduceat(self.block_max[ids] * w[:, None], cut, 0)
         sims = np.zeros((len(hot), len(self.kinds)), np.float32)
-        part = np.repeat(np.arange(len(hot)), np.array(sizes)[hot])
-        for b in range(self.block_max.shape[1]):
+        size = np.array(sizes)[hot]
+        part = np.repeat(np.arange(len(hot)), size)
+        w = w.astype(np.float32)[:, None]
+        for b, postings in enumerate(self.blocks):
             live = bound[:, b] >= MIN_SIMILARITY
-            if not live.any():
-                continue
-            sel = live[part]
-            cols = slice(b * BLOCK, min(len(self.kinds), (b + 1) * BLOCK))
-            np.add.at(sims[:, cols], part[sel], self.weights[ids[sel]][:, cols] * w[sel][:, None])
+            if live.any():
+                sel = np.flatnonzero(live[part])
+                at = np.concatenate([[0], np.cumsum(size[live])[:-1]])
+                sims[live, b * BLOCK : b * BLOCK + postings.shape[1]] = np.add.reduceat(postings[ids[sel]] * w[sel], at, 0)
         sims[sims < MIN_SIMILARITY] = 0
+        # a window without an offending neighbour has no score, whatever its other neighbours are
         bad = np.array([k in KINDS for k in self.kinds])
-        top = np.argsort(-sims, 1, kind="stable")[:, :NEIGHBOURS]
+        live = (sims[:, bad] > 0).any(1)
+        hot, sims = hot[live], sims[live]
+        if not len(hot):
+            return out
+        k = min(NEIGHBOURS, sims.shape[1])
+        top = np.argpartition(-sims, k - 1, 1)[:, :k]
+        top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(sims, top, 1)), axis=1), 1)
         votes = np.take_along_axis(sims, top, 1) ** 3
         score = (votes * bad[top]).sum(1) / (votes.sum(1) + PRIOR)
         for j in np.argsort(score, kind="stable"):
@@ -187,7 +205,7 @@ def build(examples: list[tuple[str, str]], frequency: dict[str, int], n_docs: in
     blocks = [slice(b, b + BLOCK) for b in range(0, len(texts), BLOCK)]
     top = np.stack([m[:, b].max(1) for b in blocks], 1) if blocks else np.zeros((len(terms), 0), np.float32)
     positive = np.array([any(k in KINDS for k in kinds[b]) for b in blocks], bool)
-    return Index(terms, idf, UNSEEN * float(np.median(idf)) if len(idf) else 1.0, m, top, positive, kinds, texts, names, {})
+    return Index(terms, idf, UNSEEN * float(np.median(idf)) if len(idf) else 1.0, [np.ascontiguousarray(m[:, b]) for b in blocks], top, positive, kinds, texts, names, {})
 
 
 def trained(labelled: list[tuple[str, str]], texts: list[str], frequency: dict[str, int], n_docs: int) -> Index:
@@ -221,8 +239,7 @@ def moderate(rows: DataFrame, examples: DataFrame, id_col: str = "landing_id", t
     # the vocabulary is bounded by the labelled examples; counts are over all texts
     counted = seen.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect() if vocabulary else []
     frequency, n = {r["w"]: r["count"] for r in counted}, rows.count()
-    sample = rows.where(F.length(text_col) < 2000).select(text_col).orderBy(F.xxhash64(text_col)).limit(SELF_SAMPLE)
-    index = trained(labelled, [r[0] for r in sample.collect()], frequency, n)
+    index = trained(labelled, bounded_sample(rows.where(F.length(text_col) < 2000), text_col, SELF_SAMPLE), frequency, n)
     shared = spark.sparkContext.broadcast(index)
     kind = dict(rows.dtypes)[id_col]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinara.llm.duplicates import copy_groups, one_per_group
 from opinara.llm.language import identify, normal_label
 from opinara.llm.moderation import CASE, moderate
+from opinara.llm.privacy import find_details
 from opinara.llm.quality import text_quality
 from opinara.sources.tables import table
 
@@ -58,6 +59,24 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return one_per_group(table(spark, d, "reviews").select("landing_id", "id", "raw_text", "source")).select("landing_id", "id", "source", "n_copies")
 
 
+def _details(spark: SparkSession, d: str) -> DataFrame:
+    """Details of both text fields; a translation equal to its raw text is read once."""
+    both = table(spark, d, "reviews").select("landing_id", "raw_text", "translated_text")
+    same = F.col("raw_text") == F.col("translated_text")
+    fields = F.when(same, F.array(F.struct(F.lit("raw_text,translated_text").alias("fields"), F.col("raw_text").alias("text")))).otherwise(F.array(*[F.struct(F.lit(f).alias("fields"), F.col(f).alias("text")) for f in ("raw_text", "translated_text")]))
+    rows = both.select("landing_id", F.inline(fields)).where(F.length("text") > 0)
+    return find_details(rows, table(spark, d, "name_list"), ["landing_id", "fields"], "text").withColumn("field_name", F.explode(F.split("fields", ","))).drop("fields")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _details(spark, d).select("landing_id", "field_name", F.explode(F.array_distinct(F.transform("details", lambda x: x["kind"]))).alias("kind"))
+
+
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders, and the number of details replaced."""
+    return _details(spark, d).select("landing_id", "field_name", "masked", F.size("details").alias("n_details"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents").select("doc_id", "text")).where("not is_prose").select("doc_id")
 
@@ -66,5 +85,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_segments, p6_found, p6_records, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_segments, p6_found, p6_records, p7_found, p7_masked, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
