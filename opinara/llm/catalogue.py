@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opinara.llm import queries_text
+from opinara.llm import queries_documents, queries_text
 
-MODULES = [queries_text]
+MODULES = [queries_text, queries_documents]
 
 
 def queries() -> dict:
