@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opinara.llm import queries_documents, queries_text
+from opinara.llm import queries_documents, queries_text, queries_vectors
 
-MODULES = [queries_text, queries_documents]
+MODULES = [queries_text, queries_documents, queries_vectors]
 
 
 def queries() -> dict:
