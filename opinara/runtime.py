@@ -84,9 +84,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_sample(df: DataFrame, column: str, rows: int) -> list:
-    """At most ``rows`` values of a column, chosen by their hash: the same for every partitioning, and bounded on the driver."""
-    n = df.count()
+def bounded_sample(df: DataFrame, column: str, rows: int, n: int | None = None) -> list:
+    """At most ``rows`` values of a column, chosen by their hash: the same for every partitioning, and bounded on the driver.
+
+    ``n`` is the number of rows, if it is known.
+    """
+    n = df.count() if n is None else n
     h = F.xxhash64(column)
     if n > 4 * rows:  # about twice the wanted rows pass; the order below decides among them
         df = df.where(F.pmod(h, F.lit(1 << 20)) < max(1, (2 * rows << 20) // n))
