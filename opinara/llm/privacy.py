@@ -2,7 +2,7 @@
 
 Labels: other, email, phone, id_number, address, person_name.  A token's potential sums weights of the token itself,
 its two left and one right neighbours and the shape pattern it lies in; neighbouring tokens share transition weights.
-Tokens repeated in a document are linked by skip edges that favour equal labels, and loopy sum-product message passing
+Tokens repeated in a document are linked by skip edges that favour equal labels, and loopy max-product message passing
 makes the labels consistent over each document.
 
 The weights are trained here: shape patterns and the name list label at most ``SAMPLE`` texts (distant supervision).
@@ -66,6 +66,9 @@ _HAS_DIGIT = re.compile(r"\d")
 _HAS_QUOTE = re.compile(r"[\"“”„«»'‘]")
 # Pieces of which an address or a spelled-out number has at least one.
 _STREET_HINTS = ("road", "street", "close", "cross", "drive", "lane", "avenue", "marg", "towers", "court", "square", "way", "boulevard", "nagar", "terrace", "place", "stra", "str.", "weg", "platz", "allee", "rue", "calle", "avenida", "plaza", "rua", "travessa", "jalan", "jl.", " st", " rd", " ave", "impasse", "chemin")
+_STREET_WORD = re.compile(rf"\b(?:{_STREET[3:-1]}|rue|boulevard|impasse|chemin|calle|avenida|plaza|rua|travessa|jalan|jl)\b|stra(?:ß|ss)e\b|str\.|weg\b|platz\b|allee\b")
+_NUMBER_SHAPE = re.compile(r"\+\d|\(\d{2,5}\)|(?<![\d.])\d{3,5}[\-. ]\d|\d{8}|[A-Za-z]\d{7}|[A-Za-z]{2}-\d\d-|[A-Za-z]{5}\d{4}")
+_SPELLED = re.compile(rf"\b{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}\b")
 _NUMBER_HINTS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double")
 
 
@@ -89,11 +92,12 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if sign or "u/" in low:
         add(_HANDLE, QUOTED)
     if _HAS_DIGIT.search(low):
-        if any(h in low for h in _STREET_HINTS):
+        if any(h in low for h in _STREET_HINTS) and _STREET_WORD.search(low):
             add(_ADDRESS, ADDRESS)
-        add(_ID, ID)
-        add(_PHONE, PHONE)
-    elif sum(h in low for h in _NUMBER_HINTS) >= 2:
+        if _NUMBER_SHAPE.search(low):
+            add(_ID, ID)
+            add(_PHONE, PHONE)
+    if sum(h in low for h in _NUMBER_HINTS) >= 2 and _SPELLED.search(low):
         add(_PHONE, PHONE)
     if _HAS_QUOTE.search(low):
         add(_QUOTE, QUOTED)
@@ -272,23 +276,20 @@ def train(texts: list[str], names: dict[str, int]) -> Model:
     return Model(known, names, w[0], w[1], w[2], w[3], w[4], trans)
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def _beliefs(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Max-marginals of a chain."""
     n = len(unary)
     fwd, bwd = unary.copy(), np.zeros_like(unary)
+    turned = trans.T
     for i in range(1, n):
-        fwd[i] += _logsum(fwd[i - 1][:, None] + trans, 0)
+        fwd[i] += (turned + fwd[i - 1]).max(1)
     for i in range(n - 2, -1, -1):
-        bwd[i] = _logsum(trans + (unary[i + 1] + bwd[i + 1])[None, :], 1)
+        bwd[i] = (trans + (unary[i + 1] + bwd[i + 1])).max(1)
     return fwd + bwd
 
 
 def decode(unary: np.ndarray, trans: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
-    """Labels by sum-product on the chain; with skip edges by loopy message passing.
+    """Labels by max-product on the chain; with skip edges by loopy message passing.
 
     Stretches in which every token clearly favours "other" keep that label; the chain is solved between them.
     """
@@ -320,7 +321,7 @@ def decode(unary: np.ndarray, trans: np.ndarray, edges: list[tuple[int, int]]) -
         for _ in range(SKIP_ROUNDS):
             new = {}
             for (a, b), old in msg.items():
-                m = _logsum((belief[a] - msg[b, a])[:, None] + same, 0)
+                m = ((belief[a] - msg[b, a])[:, None] + same).max(0)
                 new[a, b] = 0.5 * old + 0.5 * (m - m.max())
             msg = new
             extra = unary.copy()
@@ -401,7 +402,8 @@ def find_details(rows: DataFrame, names: DataFrame, keys: list[str], text_col: s
     short = rows.where((F.length(text_col) > 0) & (F.length(text_col) < 4000))
     people = sorted(n for n, k in listed.items() if k < 2)[:SAMPLE]
     with_name = F.arrays_overlap(F.split(F.lower(text_col), r"[^\p{L}\p{M}]+"), F.array(*[F.lit(n) for n in people])) if people else F.lit(False)
-    model = train(sorted({t for c in (with_name, ~with_name) for t in bounded_sample(short.where(c), text_col, SAMPLE // 2)}), listed)
+    n, named = short.agg(F.count(F.lit(1)), F.coalesce(F.sum(with_name.cast("bigint")), F.lit(0))).first()
+    model = train(sorted({t for c, k in ((with_name, named), (~with_name, n - named)) for t in bounded_sample(short.where(c), text_col, SAMPLE // 2, k)}), listed)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary of SAMPLE texts and the name list
     types = dict(rows.dtypes)
 
