@@ -2,8 +2,8 @@
 
 Seeding draws, in a few passes, batches of vectors with a probability in proportion to their squared distance from
 the seeds so far, weighs the candidates by the vectors nearest to them and reduces them to ``k`` centroids.  Rounds of
-spherical k-means follow.  Every vector is then assigned to its nearest cells: ``CLOSE`` cells if its centroid is at
-least as similar as two linked vectors must be, else ``WIDE``.  An exact check inside the cells links vectors of at
+spherical k-means follow.  Every vector is then assigned to its nearest cells: those of the ``CLOSE`` nearest whose
+centroid is at least as similar as two linked vectors must be, or else the ``WIDE`` nearest.  An exact check inside the cells links vectors of at
 least the wanted cosine; links are joined to components by alternating large and small stars.  Cells overlap, so a
 component that spans cells comes out whole.
 
@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.vectors import SALTS, Prepared, blocks, by_block, stacked, unit
+from opinara.llm.vectors import SALTS, Prepared, blocks, by_block, packed, stacked, unit, unpacked
 from opinara.runtime import drop_written, written
 
 LINK = 0.60
 CENTRES = (8, 8192)
-CENTRE_FACTOR = 2.0
+CENTRE_FACTOR = 4.0
 SEED_PASSES = 3
 ROUNDS = 2
-CLOSE, WIDE = 2, 8
+CLOSE, WIDE = 2, 6
 STAR_ROUNDS = 60
 TYPICAL = 5
 
@@ -190,19 +190,21 @@ def labelled(p: Prepared, least: float = LINK) -> DataFrame:
         for batch in parts:
             if not len(batch):
                 continue
-            s = unit(stacked(batch.column("q"))) @ c.T
+            q = stacked(batch.column("q"))
+            s = unit(q) @ c.T
             top = np.argpartition(-s, wide - 1, 1)[:, :wide] if wide < len(c) else np.argsort(-s, 1)
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1)
-            n = np.where(s.max(1) >= least, close, wide)
+            near = (np.take_along_axis(s, top[:, :close], 1) >= least).sum(1)
+            n = np.where(near > 0, near, wide)
             keep = np.arange(wide)[None, :] < n[:, None]
             at = np.repeat(np.arange(len(batch)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(top[keep].astype(np.int32)), batch.column("h").take(pa.array(at)), batch.column("q").take(pa.array(at))], names=["cell", "h", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(top[keep].astype(np.int32)), batch.column("h").take(pa.array(at)), packed(q).take(pa.array(at))], names=["cell", "h", "q"])
 
     cells = p.classes.mapInArrow(assign, "cell int, h bigint, q binary")
     sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
 
     def work(t: pa.Table) -> pa.Table:
-        u, v = local_links(t.column("h").to_numpy(), unit(stacked(t.column("q"))), least - 2e-6)
+        u, v = local_links(t.column("h").to_numpy(), unpacked(t.column("q")), least)
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     links = by_block(blocks(cells, "cell", sizes), work, "u bigint, v bigint")

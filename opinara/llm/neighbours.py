@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.vectors import Prepared, blocks, by_block, first_members, stacked, unit
+from opinara.llm.vectors import Prepared, blocks, by_block, first_members, packed, stacked, unit, unpacked
 from opinara.runtime import bounded_sample
 
 K = 10
@@ -87,23 +87,24 @@ def class_neighbours(p: Prepared, k: int = K, least: float | None = None) -> Dat
         for batch in parts:
             if not len(batch):
                 continue
-            x = unit(stacked(batch.column("q")))
+            q = stacked(batch.column("q"))
+            x = unit(q)
             s = x @ shared.value.T
             top = np.argpartition(-s, width - 1, 1)[:, :width]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1)
             at = np.repeat(np.arange(len(x)), width)
             orders = pa.FixedSizeListArray.from_arrays(pa.array(top[at].ravel().astype(np.int16)), width).cast(pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), orders, batch.column("h").take(pa.array(at)), batch.column("q").take(pa.array(at))], names=["pivot", "ord", "h", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), orders, batch.column("h").take(pa.array(at)), packed(q).take(pa.array(at))], names=["pivot", "ord", "h", "q"])
 
     posted = p.classes.mapInArrow(post, "pivot int, ord array<smallint>, h bigint, q binary")
     # sizes come from a scan of the same rows: one small row per pivot
     sizes = {r["pivot"]: r["count"] for r in posted.groupBy("pivot").count().collect()}
-    floor = -2.0 if least is None else float(least) - 1e-5
+    floor = -2.0 if least is None else float(least) - 1e-3
 
     def work(t: pa.Table) -> pa.Table:
         h = t.column("h").to_numpy()
         order = np.array(t.column("ord").to_pylist(), np.int16).reshape(len(h), -1)
-        r, c, s = search_file(h, order, unit(stacked(t.column("q"))), k)
+        r, c, s = search_file(h, order, unpacked(t.column("q")), k)
         ok = s >= floor
         return pa.table({"h": pa.array(h[r[ok]]), "o": pa.array(h[c[ok]]), "c": pa.array(s[ok].astype(np.float32))})
 

@@ -1,7 +1,8 @@
 """Vectors prepared for search and clustering.
 
 A usable vector has the wanted length, only finite values and a norm above zero.  It is scaled to unit length and kept
-as 16-bit integers with the largest component at 32767, which changes a cosine by about 3e-6.  Equal unit vectors form
+as 16-bit integers with the largest component at 32767, which changes a cosine by about 3e-6.  Copies that travel to
+several blocks are packed to 12 bits a component, which changes a cosine by about 4e-5.  Equal unit vectors form
 one class under a 64-bit hash of those integers; search and clustering work on classes, so that any number of copies
 of one vector costs as much as one.  Of several different vectors under one id the class with the smallest hash counts.
 """
@@ -41,6 +42,29 @@ def stacked(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1)
 
 
+def packed(q: np.ndarray) -> pa.Array:
+    """int16 rows as binary rows of 12 bits a component (an odd last component is paired with zero)."""
+    v = (np.clip(np.rint(q / 16.0), -2047, 2047) + 2048).astype(np.uint16)
+    if v.shape[1] % 2:
+        v = np.hstack([v, np.full((len(v), 1), 2048, np.uint16)])
+    a, b = v[:, 0::2], v[:, 1::2]
+    out = np.stack([a & 255, (a >> 8) | ((b & 15) << 4), b >> 4], 2).astype(np.uint8)
+    data, w = out.tobytes(), 3 * a.shape[1]
+    return pa.array([data[i : i + w] for i in range(0, len(data), w)], pa.binary())
+
+
+def unpacked(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit vectors of packed rows."""
+    rows = values.to_pylist()
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1, 3).astype(np.int16)
+    out = np.empty((len(rows), 2 * x.shape[1]), np.float32)
+    out[:, 0::2] = x[:, :, 0] | ((x[:, :, 1] & 15) << 8)
+    out[:, 1::2] = (x[:, :, 1] >> 4) | (x[:, :, 2] << 4)
+    out -= 2048
+    out /= np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    return out
+
+
 @dataclass
 class Prepared:
     ids: DataFrame  # id, h
