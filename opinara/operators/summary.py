@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from opinara import config
 
@@ -42,13 +43,13 @@ def top_sentences(text: str, count: int = config.SUMMARY_SENTENCES) -> str:
     return " ".join(parts[i] for i in best)
 
 
-@F.pandas_udf("string")
-def _summaries(texts: pd.Series) -> pd.Series:
+def _each(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else top_sentences(t))
 
 
 def summarised(c: Column, words: int = config.SUMMARY_WORDS) -> Column:
     """Texts of more than ``words`` blank-separated words are summarised; null stays null."""
+    summaries = F.pandas_udf(_each, StringType())
     # texts within the limit go to Python as null and cost nothing there
     long = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) > words
-    return F.coalesce(_summaries(F.when(long, c)), c)
+    return F.coalesce(summaries(F.when(long, c)), c)
