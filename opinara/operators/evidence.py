@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from opinara import config
 from opinara.functions import text as tx
 from opinara.functions import values as vl
+from opinara.operators.search import against
 from opinara.operators.themes import term_weights
+from opinara.runtime import written
 
 
 def source_synergy(df: DataFrame, group: str = "cluster_id", source: str = "source") -> DataFrame:
@@ -24,14 +26,13 @@ def distribution(df: DataFrame, group: str, key: Column, name: str) -> DataFrame
     return n.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_n")))).alias(name))
 
 
-def tags(vector: Column, anchors: dict[str, list[float]], threshold: float = config.ANCHOR_THRESHOLD) -> Column:
-    """Names of the anchors with a cosine of at least ``threshold``; anchors are unit vectors.  Null gives none."""
-    unit = vl.normalised(vector)
-    hit = [F.when(vl.dot(unit, F.array(*[F.lit(float(x)) for x in a])) >= threshold, F.lit(n)) for n, a in anchors.items()]
-    return F.array_compact(F.array(*hit)) if hit else F.array().cast("array<string>")
+def tags(vectors: DataFrame, anchors: DataFrame, threshold: float = config.ANCHOR_THRESHOLD) -> DataFrame:
+    """(id, tags): names of the anchors (name, vector) with a cosine of at least ``threshold``, sorted."""
+    hits = against(vectors, anchors, "id", "vector", "name", "vector", least=threshold)
+    return hits.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("_tags"))
 
 
-def packages(reviews: DataFrame, vectors: DataFrame, clusters: DataFrame, anchors: dict[str, list[float]] | None = None, churn_tag: str = "churn_indicator", review_cols: tuple[str, ...] = ("id", "raw_text", "translated_text", "rating", "source", "published_at"), dimension: int = 384) -> DataFrame:
+def packages(reviews: DataFrame, vectors: DataFrame, clusters: DataFrame, anchors: DataFrame | None = None, churn_tag: str = "churn_indicator", review_cols: tuple[str, ...] = ("id", "raw_text", "translated_text", "rating", "source", "published_at"), dimension: int = 384) -> DataFrame:
     """One row per cluster, best opportunity first in a plain sort by the caller.
 
     ``reviews`` has unique ids; ``vectors`` (id, vector) and ``clusters`` (id, centroid, mean_similarity, variance) are
@@ -39,11 +40,18 @@ def packages(reviews: DataFrame, vectors: DataFrame, clusters: DataFrame, anchor
     0.80 and the vector of its first ranked review as centroid.
     """
     text = tx.first_filled(F.col("translated_text"), F.col("raw_text"))
-    rows = reviews.where(F.col("cluster_id").isNotNull())
+    keep = dict.fromkeys((*review_cols, "id", "cluster_id", "raw_text", "translated_text", "rating", "source", "metadata"))
+    # seven aggregates read these two tables: they are written once
+    rows = written(reviews.where(F.col("cluster_id").isNotNull()).select(*keep), "package-rows")
     total = rows.count()
     vec = vectors.where(vl.usable(F.col("vector"), dimension)).groupBy("id").agg(F.min("vector").alias("vector"))
+    vec = written(vec.join(rows.select("id"), "id", "left_semi"), "package-vectors")
     meta = clusters.groupBy("id").agg(F.max(F.struct("last_updated", "centroid", "mean_similarity", "variance")).alias("c")).select(F.col("id").alias("cluster_id"), "c.centroid", "c.mean_similarity", "c.variance")
-    full = rows.join(vec, "id", "left").withColumn("_tags", F.coalesce(tags(F.col("vector"), anchors or {}), F.array().cast("array<string>"))).withColumn("_premium", tx.mentions_premium(F.col("metadata"), text).cast("int"))
+    none = F.array().cast("array<string>")
+    full = rows.select("id", "cluster_id", "rating", tx.mentions_premium(F.col("metadata"), text).cast("int").alias("_premium"))
+    full = full.join(tags(vec, anchors), "id", "left") if anchors is not None else full.withColumn("_tags", none)
+    full = full.withColumn("_tags", F.coalesce("_tags", none))
+    placed = rows.select("cluster_id", "id").join(vec, "id")
     base = full.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("size"), F.coalesce(F.avg("rating"), F.lit(config.DEFAULT_RATING)).alias("average_rating"),
         F.avg("_premium").alias("premium_ratio"), F.avg(F.array_contains("_tags", churn_tag).cast("int")).alias("churn_ratio"),
@@ -53,11 +61,12 @@ def packages(reviews: DataFrame, vectors: DataFrame, clusters: DataFrame, anchor
     tagged = distribution(full.select("cluster_id", F.explode("_tags").alias("t")), "cluster_id", F.col("t"), "tag_distribution")
     themes = term_weights(rows.withColumn("_t", text), "cluster_id", "_t").groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term", "weight"))), lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("score"))).alias("themes"))
     # ranking by similarity to the centroid
-    first = full.where("vector is not null").groupBy("cluster_id").agg(F.min_by("vector", "id").alias("_first"))
+    first = placed.groupBy("cluster_id").agg(F.min_by("vector", "id").alias("_first"))
+    centre = first.join(meta.select("cluster_id", "centroid"), "cluster_id", "left").select("cluster_id", vl.normalised(F.coalesce("centroid", "_first")).alias("_centre"))
+    similar = placed.join(centre, "cluster_id").select("cluster_id", "id", (vl.dot(F.col("vector"), F.col("_centre")) / vl.norm(F.col("vector"))).alias("_sim"))
+    similar = written(similar, "package-similarities")
     scored = (
-        full.where("vector is not null").join(meta, "cluster_id", "left").join(first, "cluster_id")
-        .withColumn("_sim", vl.dot(vl.normalised(F.col("vector")), vl.normalised(F.coalesce("centroid", "_first"))))
-        .join(base.select("cluster_id", "average_rating"), "cluster_id")
+        rows.join(similar.drop("cluster_id"), "id").join(base.select("cluster_id", "average_rating"), "cluster_id")
         .select("cluster_id", "_sim", F.col("id").alias("_id"), F.struct(*review_cols).alias("r"), F.when((F.col("average_rating") >= 4.0) & (F.col("rating") <= 2) | (F.col("average_rating") <= 2.5) & (F.col("rating") >= 4), 1).alias("odd"))
     )
     by = Window.partitionBy("cluster_id")

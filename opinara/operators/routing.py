@@ -31,7 +31,7 @@ def route_dynamic(packages: DataFrame, questions: dict[str, tuple[str, str]]) ->
         ws = question_words(title, question)
         hit = F.lit(False)
         for w in ws:
-            hit = hit | low.contains(w) | F.exists("terms", lambda t, w=w: F.lower(t).contains(w))
+            hit = hit | low.contains(w) | F.coalesce(F.array_join(F.transform("terms", F.lower), "\n").contains(w), F.lit(False))
         out.append(F.when(hit, F.lit(rq)))
     return packages.select("cluster_id", F.explode(F.array_compact(F.array(*out))).alias("rq_id")).select("rq_id", "cluster_id")
 

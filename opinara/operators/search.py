@@ -48,6 +48,8 @@ def against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key:
                 j = order.ravel()
             else:
                 i, j = np.nonzero(s >= (least if least is not None else -2))
+            if not len(i):
+                continue
             yield pd.DataFrame({key: pdf[key].to_numpy()[i], "other": [names[k] for k in j], "cosine": s[i, j]})
 
     return big.select(key, vector).mapInPandas(run, f"{key} {types[0]}, other {types[1]}, cosine double")

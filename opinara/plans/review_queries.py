@@ -14,7 +14,7 @@ from opinara.functions import text as tx
 from opinara.functions import values as vl
 from opinara.operators import metrics, records, routing, search
 from opinara.operators.dedup import near_duplicates, shingled, signature
-from opinara.operators.evidence import packages, source_synergy, tags
+from opinara.operators.evidence import packages, source_synergy
 from opinara.operators.filters import ReviewFilter, discovery, in_range, mismatch, preprocess, target_run
 from opinara.operators.leader import leader_follower
 from opinara.operators.summary import summarised
@@ -466,16 +466,11 @@ def name_fallback(s, d):
 
 
 def evidence_packages(s, d) -> DataFrame:
-    anchors = {k: list(v) for k, v in _anchors(s).items()}
+    anchors = s.createDataFrame(list(config.ANCHORS.items()), "name string, phrase string")
+    anchors = anchors.select("name", HashedEmbedder(DIMENSION).embed(F.col("phrase")).alias("vector"))
     return packages(current(s, d), table(s, d, "review_embeddings"), table(s, d, "clusters"), anchors)
 
 
-def _anchors(s) -> dict[str, list[float]]:
-    """The anchor phrases as vectors of the offline embedder."""
-    rows = s.createDataFrame(list(config.ANCHORS.items()), "name string, phrase string")
-    return {r["name"]: list(r["v"]) for r in rows.select("name", HashedEmbedder(DIMENSION).embed(F.col("phrase")).alias("v")).collect()}
-
-
 @query()
 def pkg_filtered(s, d):
     """Evidence packages of all clusters: nested documents, best opportunity first within a plain sort."""
