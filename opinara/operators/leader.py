@@ -85,7 +85,7 @@ def leader_follower(df: DataFrame, key: str, vector: str, order: list[str], thre
         return pd.DataFrame({"k": out["k"], "cluster_id": "cluster_" + (out["c"] + 1).astype(str)})
 
     if not scaled:
-        return rows.groupBy(F.lit(1)).applyInPandas(lambda pdf: name(pdf), f"k {kind}, cluster_id string").withColumnRenamed("k", key)
+        return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: name(pdf), f"k {kind}, cluster_id string").withColumnRenamed("k", key)
     parts = max(1, -(-rows.count() // part_rows))
     part = F.pmod(F.xxhash64("k"), F.lit(parts))
     first = rows.withColumn("p", part).groupBy("p").applyInPandas(lambda pdf: fold(pdf).assign(p=pdf["p"].iloc[0]), f"k {kind}, c int, centroid array<float>, n int, p bigint")
@@ -97,7 +97,7 @@ def leader_follower(df: DataFrame, key: str, vector: str, order: list[str], thre
         found = [leaders.add(np.asarray(v, np.float32), int(w)) for v, w in zip(pdf["v"], pdf["w"])]
         return pd.DataFrame({"p": pdf["p"], "c": pdf["c"], "cluster_id": [f"cluster_{f + 1}" for f in found]})
 
-    merged = heads.groupBy(F.lit(1)).applyInPandas(lambda pdf: merge(pdf), "p bigint, c int, cluster_id string")
+    merged = heads.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: merge(pdf), "p bigint, c int, cluster_id string")
     return first.join(merged, ["p", "c"]).select(F.col("k").alias(key), "cluster_id")
 
 

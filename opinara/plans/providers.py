@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 class Embedder(Protocol):
@@ -23,12 +26,20 @@ class HashedEmbedder:
 
     def embed(self, text: Column) -> Column:
         d = self.dimension
-        full = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("empty review"))
-        words = F.filter(F.split(F.lower(full), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * d)))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == i + d))).cast("double"))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+
+        def run(texts: pd.Series) -> pd.Series:
+            out = []
+            for t in texts:
+                words = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w] or ["empty", "review"]
+                v = np.zeros(d)
+                for w in words:
+                    h = xxhash.xxh64_intdigest(w)
+                    v[h % d] += 1.0 if (h >> 32) & 1 else -1.0
+                n = float(np.linalg.norm(v))
+                out.append((v / n if n > 0 else v).astype(np.float32).tolist())
+            return pd.Series(out)
+
+        return F.pandas_udf(run, ArrayType(FloatType()))(text)
 
 
 class Model(Protocol):
