@@ -26,15 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.runtime import bounded_sample, spread
+from opinara.runtime import spread
 
 LABELS = ("other", "email", "phone", "id_number", "address", "person_name")
 OTHER, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 QUOTED = 6
-SAMPLE = 4_000
+SAMPLE = 3_000
 NAME_LIMIT = 1_000_000
 KNOWN_MIN = 4
-ROUNDS, STEPS, RATE, DECAY = 2, 40, 0.5, 2e-4
+ROUNDS, STEPS, RATE, DECAY = 2, 30, 0.5, 2e-4
 CONTEXT_MIN, CONTEXT_SHARE = 4, 0.3
 SKIP_WEIGHT = 1.5
 SKIP_ROUNDS = 3
@@ -67,7 +67,7 @@ _HAS_QUOTE = re.compile(r"[\"“”„«»'‘]")
 # Pieces of which an address or a spelled-out number has at least one.
 _STREET_HINTS = ("road", "street", "close", "cross", "drive", "lane", "avenue", "marg", "towers", "court", "square", "way", "boulevard", "nagar", "terrace", "place", "stra", "str.", "weg", "platz", "allee", "rue", "calle", "avenida", "plaza", "rua", "travessa", "jalan", "jl.", " st", " rd", " ave", "impasse", "chemin")
 _STREET_WORD = re.compile(rf"\b(?:{_STREET[3:-1]}|rue|boulevard|impasse|chemin|calle|avenida|plaza|rua|travessa|jalan|jl)\b|stra(?:ß|ss)e\b|str\.|weg\b|platz\b|allee\b")
-_NUMBER_SHAPE = re.compile(r"\+\d|\(\d{2,5}\)|(?<![\d.])\d{3,5}[\-. ]\d|\d{8}|[A-Za-z]\d{7}|[A-Za-z]{2}-\d\d-|[A-Za-z]{5}\d{4}")
+_NUMBER_SHAPE = re.compile(r"(?<![\d.])\d{3,5}[\-. ]\d|(?<=[+(])\d|\d{7}|(?<=[a-z]{5})\d{4}|(?<=[a-z]-)\d\d-")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}\b")
 _NUMBER_HINTS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double")
 
@@ -170,7 +170,11 @@ class _Encoder:
         flags = [0] * len(words)
         found = spans(text)
         if found:
-            at = [m.start() for m in _TOKEN.finditer(text)]
+            at, pos = [], 0
+            for w in words:
+                pos = text.find(w, pos)
+                at.append(pos)
+                pos += len(w)
             for s, e, f in found:
                 i, j = bisect_right(at, s) - 1, bisect_left(at, e)
                 if i < 0 or at[i] + len(words[i]) <= s:
@@ -402,8 +406,13 @@ def find_details(rows: DataFrame, names: DataFrame, keys: list[str], text_col: s
     short = rows.where((F.length(text_col) > 0) & (F.length(text_col) < 4000))
     people = sorted(n for n, k in listed.items() if k < 2)[:SAMPLE]
     with_name = F.arrays_overlap(F.split(F.lower(text_col), r"[^\p{L}\p{M}]+"), F.array(*[F.lit(n) for n in people])) if people else F.lit(False)
-    n, named = short.agg(F.count(F.lit(1)), F.coalesce(F.sum(with_name.cast("bigint")), F.lit(0))).first()
-    model = train(sorted({t for c, k in ((with_name, named), (~with_name, n - named)) for t in bounded_sample(short.where(c), text_col, SAMPLE // 2, k)}), listed)
+    # one text in 64 tells how many have a listed name; then one pass takes both halves of the sample
+    part = F.pmod(F.xxhash64(text_col), F.lit(1 << 20))
+    n, named = short.where(part < (1 << 14)).agg(F.count(F.lit(1)) * 64, F.coalesce(F.sum(with_name.cast("bigint")), F.lit(0)) * 64).first()
+    share = lambda k: min(1 << 20, (SAMPLE << 20) // max(1, k)) if k > 2 * SAMPLE else 1 << 20
+    half = [r["t"] for r in short.select(F.col(text_col).alias("t"), part.alias("p")).where(F.col("p") < share(n)).orderBy("p", "t").limit(SAMPLE // 2).collect()]
+    with_names = [r["t"] for r in short.select(F.col(text_col).alias("t"), part.alias("p")).where((F.col("p") < share(named)) & with_name).orderBy("p", "t").limit(SAMPLE // 2).collect()]
+    model = train(sorted({*half, *with_names}), listed)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary of SAMPLE texts and the name list
     types = dict(rows.dtypes)
 
