@@ -24,7 +24,7 @@ _LETTERS = "aeinorst"
 
 def stripped(c: Column) -> Column:
     """Letters with their marks and digits only, case folded."""
-    folded = F.lower(F.upper(F.lower(c)))
+    folded = F.replace(F.translate(F.lower(F.upper(F.lower(c))), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(F.regexp_replace(folded, "[\\x{FE00}-\\x{FE0F}\\x{20D0}-\\x{20FF}]", ""), r"[^\p{L}\p{M}\p{N}]+\p{M}*|^\p{M}+", "")
 
 
