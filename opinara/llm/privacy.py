@@ -20,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -154,20 +155,21 @@ class _Buckets(dict):
 
 
 class _Encoder:
-    """Token ids, flags and words of texts."""
+    """Token ids, marked token ranges and words of texts."""
 
     def __init__(self, known: dict[str, int], names: dict[str, int]) -> None:
         self.buckets = _Buckets(known, names)
 
-    def __call__(self, text: str) -> tuple[list[int], list[int], list[str]]:
+    def __call__(self, text: str) -> tuple[list[int], list[tuple[int, int, int]], list[str]]:
         words = _TOKEN.findall(text)
         buckets = self.buckets
         ids = [buckets[w] for w in words]
         if 8 in ids and not text.islower():
-            small = sum(w[0].islower() for w in words)
-            if small * 10 >= 4 * sum(w[0].isalpha() for w in words) and any(w[0].isupper() and w[1:].islower() for w in words):
+            heads = "".join([w[0] for w in words])
+            small = sum(map(str.islower, heads))
+            if small * 10 >= 4 * sum(map(str.isalpha, heads)) and any(w[0].isupper() and w[1:].islower() for w in words):
                 ids = [SMALL if i == 8 else i for i in ids]
-        flags = [0] * len(words)
+        marks: list[tuple[int, int, int]] = []
         found = spans(text)
         if found:
             at, pos = [], 0
@@ -179,14 +181,21 @@ class _Encoder:
                 i, j = bisect_right(at, s) - 1, bisect_left(at, e)
                 if i < 0 or at[i] + len(words[i]) <= s:
                     i += 1
-                flags[i:j] = [f] * (j - i)
-        return ids, flags, words
+                marks.append((i, j, f))
+        return ids, marks, words
+
+
+def _flags(marks: list[tuple[int, int, int]], n: int) -> list[int]:
+    out = [0] * n
+    for i, j, f in marks:
+        out[i:j] = [f] * (j - i)
+    return out
 
 
 def _context(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the left, second left and right neighbour; text edges give ``EDGE``."""
     n = len(ids)
-    left, left2, right = np.full(n, EDGE), np.full(n, EDGE), np.full(n, EDGE)
+    left, left2, right = (np.full(n, EDGE, np.int32) for _ in range(3))
     left[1:], left2[2:], right[:-1] = ids[:-1], ids[:-2], ids[1:]
     first, second = starts, starts + 1
     left[first] = left2[first] = EDGE
@@ -223,7 +232,8 @@ def train(texts: list[str], names: dict[str, int]) -> Model:
     encode = _Encoder(known, names)
     coded = [encode(t) for t in texts]
     near, total, capital = Counter(), Counter(), Counter()
-    for ids, flags, words in coded:
+    for ids, marks, words in coded:
+        flags = _flags(marks, len(ids))
         for i, w in enumerate(words):
             if ids[i] >= _BUCKETS and w[0].isalpha():
                 low = w.lower()
@@ -238,7 +248,7 @@ def train(texts: list[str], names: dict[str, int]) -> Model:
     coded = [encode(t) for t in texts]
     coded = [c for c in coded if c[0]]
     ids = np.array([i for c in coded for i in c[0]])
-    flags = np.array([f for c in coded for f in c[1]])
+    flags = np.array([f for c in coded for f in _flags(c[1], len(c[0]))])
     sizes = np.array([len(c[0]) for c in coded])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -277,7 +287,7 @@ def train(texts: list[str], names: dict[str, int]) -> Model:
     # transition weights: surprise over independence, bounded
     joint = trans / trans.sum()
     trans = np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -2.5, 2.5)
-    return Model(known, names, w[0], w[1], w[2], w[3], w[4], trans)
+    return Model(known, names, *[x.astype(np.float32) for x in w], trans)
 
 
 def _beliefs(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -351,15 +361,21 @@ class Finder:
                     owner.append(i)
         if not coded:
             return out
-        ids = np.array([x for c in coded for x in c[0]])
-        flags = np.array([x for c in coded for x in c[1]])
         ends = np.cumsum([len(c[0]) for c in coded])
         starts = np.concatenate([[0], ends[:-1]])
+        ids = np.fromiter(chain.from_iterable(c[0] for c in coded), np.int32, int(ends[-1]))
+        flags = np.zeros(len(ids), np.int8)
+        for a, c in zip(starts.tolist(), coded):
+            for i, j, f in c[1]:
+                flags[a + i : a + j] = f
         left, left2, right = _context(ids, starts, ends)
         m = self.m
         unary = m.token[ids] + m.left[left] + m.left2[left2] + m.right[right] + m.flag[flags]
         # a text in which every token clearly favours "other", beyond what two transitions can add, has no details
-        lead = unary[:, OTHER] - unary[:, 1:].max(1)
+        most = unary[:, 1].copy()
+        for k in range(2, 6):
+            np.maximum(most, unary[:, k], out=most)
+        lead = unary[:, OTHER] - most
         loud = np.minimum.reduceat(lead, starts) < QUIET
         for j in np.flatnonzero(loud):
             a, b = starts[j], ends[j]
@@ -369,7 +385,7 @@ class Finder:
                 if k < 2 or 6 <= k <= 8:
                     where.setdefault(words[i].lower(), []).append(i)
             edges = [(x, y) for at in where.values() for x, y in zip(at[:-1], at[1:]) if y - x > 1]
-            labels = decode(unary[a:b], m.trans, edges)
+            labels = decode(unary[a:b].astype(np.float64), m.trans, edges)
             text = texts[owner[j]]
             if not labels.any():
                 continue
