@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from opinara import config
 
-EMAIL = r"[\w.\-]+@[\w.\-]+\.\w+"
-PHONE = r"\+?\d{1,4}[\-.\s]?\(?\d{1,3}\)?[\-.\s]?\d{1,4}[\-.\s]?\d{1,4}[\-.\s]?\d{1,9}"
-URL = r"https?://\S+|www\.\S+"
+# letters, digits and blanks of all scripts, where the classes of Java would be plain ASCII
+_LETTER, _DIGIT, _BLANK = r"\p{L}\p{N}_", r"\p{Nd}", r"\s\x1C-\x1F\x85\p{Z}"
+EMAIL = rf"[{_LETTER}.\-]+@[{_LETTER}.\-]+\.[{_LETTER}]+"
+PHONE = rf"\+?{_DIGIT}{{1,4}}[\-.{_BLANK}]?\(?{_DIGIT}{{1,3}}\)?[\-.{_BLANK}]?{_DIGIT}{{1,4}}[\-.{_BLANK}]?{_DIGIT}{{1,4}}[\-.{_BLANK}]?{_DIGIT}{{1,9}}"
+URL = rf"https?://[^{_BLANK}]+|www\.[^{_BLANK}]+"
+BLANKS = rf"[{_BLANK}]+"
 HANDLE = r"@[a-zA-Z0-9_]+|u/[a-zA-Z0-9_\-]+"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]+"
 WORD = r"[\p{L}\p{N}_]+"
@@ -33,7 +36,7 @@ def strip_details(c: Column) -> Column:
     """Without e-mail addresses, number runs, links, handles and astral symbols, blanks collapsed; empty gives ''."""
     for pattern in (EMAIL, PHONE, URL, HANDLE, ASTRAL):
         c = F.regexp_replace(c, pattern, "")
-    return F.trim(F.regexp_replace(or_empty(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(or_empty(c), BLANKS, " "))
 
 
 def strip_markup(c: Column) -> Column:
@@ -97,8 +100,8 @@ def location_all(c: Column) -> Column:
 
 def shingles(c: Column, k: int = config.SHINGLE) -> Column:
     """Distinct k-character shingles of the lower-cased text without blanks; shorter texts give none."""
-    flat = F.regexp_replace(F.lower(or_empty(c)), r"\s+", "")
-    return F.when(F.length(flat) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(flat) - (k - 1)), lambda i: F.substring(flat, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    flat = F.regexp_replace(F.lower(or_empty(c)), BLANKS, "")
+    return F.array_distinct(F.regexp_extract_all(flat, F.lit(rf"(?s)(?=(.{{{k}}}))."), 1))
 
 
 def device(c: Column) -> Column:

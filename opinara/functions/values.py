@@ -34,7 +34,8 @@ def parsed_time(c: Column, now: Column) -> Column:
 
 def end_of_day(c: Column) -> Column:
     """A bare date becomes the next day; longer or unreadable texts stay."""
-    return F.when(F.length(c) > 10, c).otherwise(F.coalesce(F.date_add(c.try_cast("date"), 1).cast("string"), c))
+    day = F.when(c.rlike(r"^\d{4}-\d\d?-\d\d?\z"), c.try_cast("date"))
+    return F.when(F.length(c) > 10, c).otherwise(F.coalesce(F.date_add(day, 1).cast("string"), c))
 
 
 def within_horizon(at: Column, now: Column, days: int = config.HORIZON_DAYS) -> Column:

@@ -146,14 +146,13 @@ def flt_discovery(s, d):
 
 @query("SELECT sum(CASE WHEN coalesce(try_cast(substr(published_at, 1, 10) AS DATE) BETWEEN DATE '2026-03-01' AND DATE '2026-05-31', true) THEN 1 ELSE 0 END)::BIGINT AS in_range, sum(CASE WHEN coalesce(try_cast(substr(published_at, 1, 10) AS DATE) BETWEEN DATE '2026-03-01' AND DATE '2026-05-31', true) THEN 0 ELSE 1 END)::BIGINT AS out_of_range FROM reviews WHERE regexp_matches(substr(published_at, 1, 10), '^\\d{4}-\\d\\d-\\d\\d$')")
 def flt_date_window(s, d):
-    rows = reviews(s, d, "published_at").where(F.substring("published_at", 1, 10).rlike(r"^\d{4}-\d\d-\d\d$"))
-    return mismatch(rows, FROM, TO, 10**9).select("in_range", "out_of_range")
+    return mismatch(reviews(s, d, "published_at"), FROM, TO, 10**9).select("in_range", "out_of_range")
 
 
 # ---- row-level text functions
 @query("SELECT landing_id, md5(" + S_STRIP.format(c="raw_text") + ") AS digest FROM reviews WHERE regexp_matches(raw_text, '^[ -~]*\\z')")
 def txt_strip_pii(s, d):
-    return reviews(s, d, "landing_id", "raw_text").where(F.col("raw_text").rlike(r"^[ -~]*\z")).select("landing_id", F.md5(tx.strip_details(F.col("raw_text"))).alias("digest"))
+    return reviews(s, d, "landing_id", "raw_text").select("landing_id", F.md5(tx.strip_details(F.col("raw_text"))).alias("digest"))
 
 
 @query("SELECT landing_id, md5(replace(replace(replace(replace(regexp_replace(raw_text, '<[^>]*>', '', 'g'), '‘', ''''), '’', ''''), '“', '\"'), '”', '\"')) AS digest FROM reviews")
@@ -163,7 +162,7 @@ def txt_strip_html(s, d):
 
 @query(f"SELECT landing_id, len(list_filter(regexp_extract_all(lower(raw_text), '[a-z0-9_]+'), lambda w: w NOT IN ({_list(config.LENGTH_STOP_WORDS)}))) AS n_words FROM reviews WHERE regexp_matches(raw_text, '^[ -~\\s]*$')")
 def txt_meaningful_words(s, d):
-    return reviews(s, d, "landing_id", "raw_text").where(F.col("raw_text").rlike(r"^[ -~\s]*$")).select("landing_id", tx.meaningful_words(F.col("raw_text")).alias("n_words"))
+    return reviews(s, d, "landing_id", "raw_text").select("landing_id", tx.meaningful_words(F.col("raw_text")).alias("n_words"))
 
 
 @query(f"SELECT landing_id, {_any('lower(raw_text)', config.PRIORITY_KEYWORDS)} AS priority FROM reviews")
@@ -217,8 +216,7 @@ def id_hashes(s, d):
 
 @query("SELECT landing_id, CASE WHEN rating IS NULL THEN NULL ELSE greatest(1, least(5, rating)) END AS rating, CASE WHEN length(published_at) > 10 THEN published_at ELSE coalesce(strftime(try_cast(CASE WHEN regexp_matches(published_at, '^\\d{4}-\\d\\d-\\d\\d$') THEN published_at END AS DATE) + INTERVAL 1 DAY, '%Y-%m-%d'), published_at) END AS end_at FROM reviews WHERE length(published_at) > 10 OR regexp_matches(published_at, '^\\d{4}-\\d\\d-\\d\\d$')")
 def num_rating_and_end(s, d):
-    rows = reviews(s, d, "landing_id", "rating", "published_at").where((F.length("published_at") > 10) | F.col("published_at").rlike(r"^\d{4}-\d\d-\d\d$"))
-    return rows.select("landing_id", vl.clamp_rating(F.col("rating")).alias("rating"), vl.end_of_day(F.col("published_at")).alias("end_at"))
+    return reviews(s, d, "landing_id", "rating", "published_at").select("landing_id", vl.clamp_rating(F.col("rating")).alias("rating"), vl.end_of_day(F.col("published_at")).alias("end_at"))
 
 
 @query()
@@ -241,8 +239,7 @@ def flag_premium(s, d):
 
 @query("SELECT landing_id, len(list_distinct(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)))) AS n_shingles FROM (SELECT landing_id, regexp_replace(lower(raw_text), '\\s+', '', 'g') AS f FROM reviews WHERE regexp_matches(raw_text, '^[ -~\\s]*$')) WHERE length(f) >= 3")
 def txt_shingles(s, d):
-    rows = reviews(s, d, "landing_id", "raw_text").where(F.col("raw_text").rlike(r"^[ -~\s]*$"))
-    return rows.select("landing_id", F.size(tx.shingles(F.col("raw_text"))).alias("n_shingles")).where("n_shingles > 0")
+    return reviews(s, d, "landing_id", "raw_text").select("landing_id", F.size(tx.shingles(F.col("raw_text"))).alias("n_shingles")).where("n_shingles > 0")
 
 
 @query()
