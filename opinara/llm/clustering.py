@@ -3,9 +3,10 @@
 Seeding draws, in a few passes, batches of vectors with a probability in proportion to their squared distance from
 the seeds so far, weighs the candidates by the vectors nearest to them and reduces them to ``k`` centroids.  Rounds of
 spherical k-means follow.  Every vector is then assigned to its nearest cells: those of the ``CLOSE`` nearest whose
-centroid is at least as similar as two linked vectors must be, or else the ``WIDE`` nearest.  An exact check inside the cells links vectors of at
-least the wanted cosine; links are joined to components by alternating large and small stars.  Cells overlap, so a
-component that spans cells comes out whole.
+centroid is at least as similar as two linked vectors must be, or else the ``WIDE`` nearest.  Inside the cells vectors that surely have the
+wanted cosine are linked; links are joined to components by alternating large and small stars.  Cells do not bring every
+pair together, so an exact pass compares all pairs of blocks of vectors and joins the components it finds linked.  Its
+work grows with the square of the vectors.
 
 Defined results: unusable vectors and ids without one take no part; a repeated id counts once; equal vectors always
 belong together; the first id of a cluster is its smallest; an empty table gives no clusters.
@@ -30,6 +31,8 @@ SEED_PASSES = 3
 ROUNDS = 2
 CLOSE, WIDE = 2, 6
 STAR_ROUNDS = 60
+EXACT_ROWS = 2048
+PACKED_MARGIN, MARGIN = 2e-4, 2e-6  # most that 12 and 16 bits a component change a cosine
 TYPICAL = 5
 
 
@@ -177,6 +180,38 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def missed_links(p: Prepared, found: DataFrame, least: float) -> DataFrame:
+    """(u, v): the labels, u > v, of linked vectors of different components, by comparing all vectors at 16 bits."""
+    rows = p.classes.join(found, "h", "left").select("h", F.coalesce("label", "h").alias("label"), "q")
+
+    def gather(parts):  # noqa: ANN001, ANN202
+        for batch in parts:
+            for at in range(0, len(batch), EXACT_ROWS):  # a block is named by its first vector
+                t = batch.slice(at, EXACT_ROWS)
+                yield pa.RecordBatch.from_arrays([t.column("h").slice(0, 1), pa.array([t.column("label").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(t.column("q").to_pylist())], pa.binary())], names=["b", "labels", "q"])
+
+    whole = written(rows.mapInArrow(gather, "b bigint, labels binary, q binary"), "exact-blocks")
+    one, two = (whole.select(*[F.col(c).alias(f"{c}{k}") for c in whole.columns]) for k in (1, 2))
+
+    def compare(parts):  # noqa: ANN001, ANN202
+        def read(batch: pa.RecordBatch, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+            label = np.frombuffer(batch.column(f"labels{k}")[i].as_py(), np.int64)
+            return label, unit(np.frombuffer(batch.column(f"q{k}")[i].as_py(), np.int16).reshape(len(label), -1))
+
+        last = None
+        for batch in parts:
+            for i, b in enumerate(batch.column("b1").to_pylist()):
+                if b != last:
+                    last, (label, x) = b, read(batch, 1, i)
+                other, y = read(batch, 2, i)
+                at, to = np.nonzero(x @ y.T >= least - MARGIN)
+                pairs = np.stack([label[at], other[to]], 1)
+                pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["u", "v"])
+
+    return one.join(two, F.col("b1") <= F.col("b2")).mapInArrow(compare, "u bigint, v bigint")
+
+
 def labelled(p: Prepared, least: float = LINK) -> DataFrame:
     """(id, h, label): the cluster of every id; ids that are linked to no other have their own."""
     if p.n == 0:
@@ -204,12 +239,14 @@ def labelled(p: Prepared, least: float = LINK) -> DataFrame:
     sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
 
     def work(t: pa.Table) -> pa.Table:
-        u, v = local_links(t.column("h").to_numpy(), unpacked(t.column("q")), least)
+        u, v = local_links(t.column("h").to_numpy(), unpacked(t.column("q")), least + PACKED_MARGIN)
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     links = by_block(blocks(cells, "cell", sizes), work, "u bigint, v bigint")
-    found = components(links)
-    return p.ids.join(found, "h", "left").select("id", "h", F.coalesce("label", "h").alias("label"))
+    found = written(components(links), "found")
+    joined = components(missed_links(p, found, least)).select(F.col("h").alias("label"), F.col("label").alias("root"))
+    ids = p.ids.join(found, "h", "left").select("id", "h", F.coalesce("label", "h").alias("label"))
+    return ids.join(joined, "label", "left").select("id", "h", F.coalesce("root", "label").alias("label"))
 
 
 def cluster_members(p: Prepared, least: float = LINK, smallest: int = 3) -> DataFrame:

@@ -116,6 +116,19 @@ def test_clusters_exact(spark):
     assert got == want
 
 
+def test_clusters_whose_vectors_share_no_cell(spark, monkeypatch):
+    e = np.eye(384)
+    c = 0.60001  # cosine of neighbours in the chain, a little above the threshold
+    x = [e[0]]
+    for i in (1, 2):
+        x.append(c * x[-1] + np.sqrt(1 - c * c) * e[i])
+    # two centroids closest to every vector: none is shared by two of them
+    monkeypatch.setattr(clustering, "centroids", lambda p: np.array([v / np.linalg.norm(v) for u in x for v in (u + 0.05 * e[9], u - 0.05 * e[9])], np.float32))
+    df = spark.createDataFrame([(f"r{i}", v.tolist()) for i, v in enumerate([*x, e[50]])], "id string, vector array<double>")
+    got = {(r["first_id"], r["member_id"]) for r in clustering.cluster_members(vectors.prepared(df)).collect()}
+    assert got == {("r0", "r0"), ("r0", "r1"), ("r0", "r2")}
+
+
 def test_components_of_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "u bigint, v bigint")
     got = {r["h"]: r["label"] for r in clustering.components(edges).collect()}
