@@ -65,12 +65,12 @@ _QUOTE = re.compile(r"[\"“”„«»][^\"“”„«»\n]{1,80}[\"“”„«
 _HANDLE = re.compile(r"(?<!\w)(?:@\w+|u/\w+)", re.I)
 _HAS_DIGIT = re.compile(r"\d")
 _HAS_QUOTE = re.compile(r"[\"“”„«»'‘]")
-# Pieces of which an address or a spelled-out number has at least one.
-_STREET_HINTS = ("road", "street", "close", "cross", "drive", "lane", "avenue", "marg", "towers", "court", "square", "way", "boulevard", "nagar", "terrace", "place", "stra", "str.", "weg", "platz", "allee", "rue", "calle", "avenida", "plaza", "rua", "travessa", "jalan", "jl.", " st", " rd", " ave", "impasse", "chemin")
+# Checks before the shapes; every one accepts all that the patterns behind it accept.
 _STREET_WORD = re.compile(rf"\b(?:{_STREET[3:-1]}|rue|boulevard|impasse|chemin|calle|avenida|plaza|rua|travessa|jalan|jl)\b|stra(?:ß|ss)e\b|str\.|weg\b|platz\b|allee\b")
-_NUMBER_SHAPE = re.compile(r"(?<![\d.])\d{3,5}[\-. ]\d|(?<=[+(])\d|\d{7}|(?<=[a-z]{5})\d{4}|(?<=[a-z]-)\d\d-")
+_HAS_AT = re.compile(r"[(\[{]\s?at\s?[)\]}]|\sat\s")
+_NUMBER_SHAPE = re.compile(r"(?<!\d)\d{3,5}[\-.\s]\d|(?<=[+(])\d|\d{7}|(?<=[^\W\d_]{5})\d{4}|(?<=[^\W\d_]-)\d\d-")
 _SPELLED = re.compile(rf"\b{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}[\s\-]+{_DIGIT_WORD}\b")
-_NUMBER_HINTS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double")
+_NUMBER_HINTS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double", "oh")
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -87,18 +87,20 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((s, e, flag))
 
     low = text.lower()
+    if not low.isascii():  # letters that patterns without case take for s and i
+        low = low.replace("ſ", "s").replace("i̇", "i").replace("ı", "i")
     sign = "@" in low
-    if sign or " at " in low or "at)" in low or "at]" in low:
+    if sign or _HAS_AT.search(low):
         add(_EMAIL, EMAIL)
     if sign or "u/" in low:
         add(_HANDLE, QUOTED)
     if _HAS_DIGIT.search(low):
-        if any(h in low for h in _STREET_HINTS) and _STREET_WORD.search(low):
+        if _STREET_WORD.search(low):
             add(_ADDRESS, ADDRESS)
         if _NUMBER_SHAPE.search(low):
             add(_ID, ID)
             add(_PHONE, PHONE)
-    if sum(h in low for h in _NUMBER_HINTS) >= 2 and _SPELLED.search(low):
+    if any(h in low for h in _NUMBER_HINTS) and _SPELLED.search(low):
         add(_PHONE, PHONE)
     if _HAS_QUOTE.search(low):
         add(_QUOTE, QUOTED)

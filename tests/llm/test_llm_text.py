@@ -134,3 +134,24 @@ def test_skip_edges_carry_labels():
 
 def test_names_in_letters():
     assert all(privacy.spans("".join(random.choices(string.printable, k=200))) is not None for _ in range(50))
+
+
+def test_shape_checks_lose_nothing():
+    p = privacy
+
+    def ungated(text):
+        found = []
+        for pattern, flag in ((p._EMAIL, p.EMAIL), (p._HANDLE, p.QUOTED), (p._ADDRESS, p.ADDRESS), (p._ID, p.ID), (p._PHONE, p.PHONE), (p._QUOTE, p.QUOTED)):
+            for m in pattern.finditer(text):
+                if all(m.end() <= a or b <= m.start() for a, b, _ in found):
+                    found.append((*m.span(), flag))
+        return found
+
+    texts = ["five five five oh five five", "oh oh oh oh oh oh", "nİne nine nine nine nine nine", "name\tat\tmail dot com", "12 Hill\u00a0st", "12 Hill ſtreet", "flat 4 Hill\nrd", "ABCDE1234F", "AB-12-123456", "x.555 123 4567"]
+    for blank in ("", " ", "\t", "\n", "\u00a0", "\u2009"):
+        texts += [f"mail name{blank}{a}{blank}at{blank}{b}{blank}mail.com now" for a, b in ("()", "[]", "{}", "{]")]
+    for sep in (" ", "-", ".", "\t", "\n", "\u00a0", "\u2009"):
+        texts += [f"call {sep.join(d)} now" for d in (["98765", "43210"], ["555", "123", "4567"], ["01234", "567890"], ["04321", "123", "456"], ["+91", "98765", "43210"], ["123", "45", "6789"], ["1234", "5678", "9012"], ["(020)", "123", "4567"])]
+    for t in texts:
+        assert sorted(p.spans(t)) == sorted(ungated(t)), t
+    assert all(p.spans(t) for t in ("name{at}mail.com", "98765\u00a043210", "555\u00a0123\u00a04567", texts[0]))
