@@ -91,22 +91,67 @@ def test_language_segments(spark):
 EXAMPLES = [("abusive", "You are a bunch of idiots."), ("hateful", "All foreigners are vermin and should be thrown out."), ("none", "The comedy show Four Idiots in a Van is back."), ("none", "I would kill for a working queue."), ("none", "This is the best music app.")]
 
 
-def test_moderation_exact_against_plain_cosines():
-    ix = moderation.build(EXAMPLES, {"the": 50, "a": 60, "of": 40, "are": 30, "is": 50}, 100)
-    texts = ["You are a bunch of idiots", "you are a bunch of i.d.i.o.t.s!", "You are a bunch of id*ots", "The comedy show Four Idiots in a Van is back.", "nice music", "", None, "word " * 5000 + "you are a bunch of idiots"]
-    got = [r[0] for r in ix.score(texts)]
-    assert min(got[0], got[1], got[2], got[7]) >= moderation.CASE and max(got[3:7]) < moderation.CASE
+def _coded(examples):
+    return [(k, t, tuple(moderation.plain_words(t))) for k, t in examples]
+
+
+def _cosines(ix, words):
+    """All cosines of a window by the plain formula."""
     import numpy as np
 
-    full = np.hstack(ix.blocks)
-    w = np.zeros(len(ix.terms))
-    for t in moderation.plain_words(texts[0]):
-        w[ix.terms[t]] += ix.idf[ix.terms[t]]
-    sims = (w / np.linalg.norm(w)) @ full
-    assert abs(ix.score([texts[0]])[0][3] - sims.max()) < 1e-6
+    full = np.zeros((len(ix.terms), len(ix.kinds)))
+    for t in range(len(ix.terms)):
+        for cell in range(ix.block_at[t], ix.block_at[t + 1]):
+            for p in range(ix.post_at[cell], ix.post_at[cell + 1]):
+                full[t, ix.example[p]] = ix.weight[p]
+    w, rest = np.zeros(len(ix.terms)), 0
+    for t in words:
+        if t in ix.terms:
+            w[ix.terms[t]] += ix.idf[ix.terms[t]]
+        else:
+            rest += 1
+    return (w / max(1e-9, float(np.sqrt(w @ w + rest * ix.unseen**2)))) @ full
+
+
+def test_moderation_cosines_are_exact():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    examples = [(rng.choice(["none", "abusive", "sexual"]), f"t{i}", tuple(rng.choices(vocabulary, k=rng.randint(1, 9)))) for i in range(300)]
+    ix = moderation.build(examples, {w: rng.randint(0, 90) for w in vocabulary}, 100)
+    found = [rng.choices(vocabulary + ["x", "y"], k=rng.randint(1, 12)) for _ in range(200)]
+    window, example, sim = ix.neighbours(found)
+    got = {(int(w), int(e)): s for w, e, s in zip(window, example, sim)}
+    bad = [k in moderation.KINDS for k in ix.kinds]
+    for i, words in enumerate(found):
+        sims = _cosines(ix, words)
+        want = {(i, j): s for j, s in enumerate(sims) if s >= moderation.MIN_SIMILARITY + 1e-9}
+        if any(bad[j] for _, j in want):
+            mine = {k: s for k, s in got.items() if k[0] == i}
+            assert all(abs(mine[k] - s) < 1e-9 for k, s in want.items()) and len(mine) - len(want) in (0, 1)
+
+
+def test_moderation_scores():
+    ix = moderation.build(_coded(EXAMPLES), {"the": 50, "a": 60, "of": 40, "are": 30, "is": 50}, 100)
+    texts = ["You are a bunch of idiots", "you are a bunch of i.d.i.o.t.s!", "You are a bunch of id*ots", "The comedy show Four Idiots in a Van is back.", "nice music", "", None, "word " * 5000 + "you are a bunch of idiots"]
+    got = ix.score([moderation.read(t) for t in texts])
+    share = [moderation.Index.votes(ix, moderation.windows(moderation.read(t)))[0].max(initial=0) for t in texts]
+    assert min(share[0], share[1], share[2], share[7]) > 0.8 and max(share[3:7]) < 0.5
+    assert got[0][1:3] == ("abusive", ["You are a bunch of idiots."]) and got[4] == got[5] == got[6] == (0.0, None, [], 0.0)
     assert moderation.build([], {}, 0).score(["x"]) == [(0.0, None, [], 0.0)]
 
 
+def test_moderation_of_a_corpus(spark):
+    """Every term of the index has its corpus frequency, also a word that only found sentences use."""
+    reviews = [f"version {i % 7} plays the same songs" for i in range(300)] + ["You are a bunch of idiots"] * 3 + ["You are a bunch of dorknoses"] * 4 + ["The people in charge are dorknoses", "You are a bunch of idiots in version 8", None, "", "x" * 100_000]
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(reviews)], "landing_id bigint, raw_text string, score string")
+    given = spark.createDataFrame(EXAMPLES + [("none", "plays the same songs"), ("abusive", "You are a bunch of liars."), (None, "x"), ("none", None)], "kind string, sample_text string")
+    got = {r["landing_id"]: r for r in moderation.moderate(rows, given).collect()}
+    assert len(got) == len(reviews) and all(got[i]["score"] == 0 for i, t in enumerate(reviews) if not t or "plays" in t)
+    assert all(got[i]["score"] >= moderation.CASE for i, t in enumerate(reviews) if t and "bunch" in t)
+    assert moderation.moderate(rows.limit(0), given).count() == 0
+    assert moderation.moderate(rows, given.limit(0)).where("score > 0").count() == 0
+
+
 def test_details():
     names = {"yalina": 0, "vennick": 1, "tarvik": 0, "dornwick": 2}
     random.seed(2)
