@@ -13,7 +13,7 @@ offence weigh up to ``BOOST`` times as much: at first those that only offending
 their uses in the corpus that lies in offending sentences (none up to ``BOOST_FROM``, all from ``BOOST_TO`` on).  A
 capitalised word inside a sentence in ordinary case is a name or title and is left out unless offending examples use it.
 
-The labelled examples (at most ``EXAMPLE_LIMIT``) are extended in ``SELF_ROUNDS`` rounds by sentences of all texts:
+The labelled examples (at most ``EXAMPLE_LIMIT``, with the general ones below) are extended in ``SELF_ROUNDS`` rounds by sentences of all texts:
 those that score at least ``SELF_SCORE`` with a neighbour of ``SELF_NEAREST`` join their kind, those that score at most
 ``SELF_LOW`` and hold no word of which more than ``RISKY`` of the uses are offending join the harmless ones, at most
 ``SELF_LIMIT`` different ones of each, chosen by hash.  Words are counted over all sentences found.
@@ -56,6 +56,20 @@ UNSEEN = 0.6
 CHUNK = 4096
 KINDS = ("abusive", "hateful", "sexual")
 Example = tuple[str, str, tuple[str, ...]]  # kind, text, plain words
+# Common insults and threats of the languages the engine reads, beside the labelled table, which may lack
+# some languages altogether.
+GENERAL = {
+    "en": ("Shut up, you liar.", "You are ugly and stupid.", "Go to hell and rot there.", "Crawl back under your rock, you scum.", "Your mother should be ashamed of you.", "I will kill you.", "You are all lying crooks.", "You brainless losers."),
+    "es": ("Eres un hijo de puta.", "Cállate, imbécil.", "Sois todos unos idiotas.", "Vete a la mierda, cabrón.", "Ojalá te mueras, inútil."),
+    "fr": ("Ferme ta gueule, connard.", "Va te faire foutre, espèce d'abruti.", "Vous êtes tous des imbéciles.", "Crève, sale ordure."),
+    "de": ("Halt die Fresse, du Arschloch.", "Ihr seid alle Idioten.", "Verpiss dich, du dumme Sau.", "Verrecke, du Dreckskerl."),
+    "pt": ("Vocês são todos uns idiotas.", "Vão para o inferno, seus imbecis.", "Cala a boca, filho da puta.", "Vai à merda, bando de inúteis.", "Morre, seu lixo."),
+    "id": ("Kalian semua goblok.", "Dasar tolol dan bodoh.", "Bajingan, bangsat, anjing kamu.", "Tutup mulutmu, otak kosong.", "Mati saja kau, brengsek."),
+    "hi": ("तुम सब बेवकूफ हो", "कमीने, हरामी, कुत्ते", "साले गधे, निकम्मे", "भाड़ में जाओ, मूर्ख", "मर जाओ, नालायक"),
+    "hinglish": ("Tum sab gadhe ho.", "Kamine, harami, kutte.", "Bhaad mein jao, bewakoof.", "Mar jao, nalayak."),
+    "bn": ("তোরা সবাই গাধা", "হারামজাদা, কুত্তার বাচ্চা", "জাহান্নামে যা, শয়তান", "তোমরা বোকা আর অপদার্থ", "মর তুই, বেয়াদব"),
+    "ta": ("நீங்கள் எல்லாரும் முட்டாள்கள்", "நாயே, பொறுக்கி", "செத்துப் போ, சனியனே", "மடையர்கள், உதவாக்கரை", "வாயை மூடு, அறிவில்லாதவனே"),
+}
 
 _MARKS = "̀-ͯऀ-ॣঁ-ৣஂ-ௗ"
 _WORD = re.compile(rf"[^\W\d_][\w{_MARKS}]*")
@@ -375,6 +389,8 @@ def moderate(rows: DataFrame, examples: DataFrame, id_col: str = "landing_id", t
     spark = rows.sparkSession
     given = examples.select("kind", "sample_text").distinct().orderBy(F.xxhash64("kind", "sample_text"), "kind", "sample_text").limit(EXAMPLE_LIMIT).collect()
     labelled = [(r[0], r[1], tuple(ws)) for r in given if r[0] and r[1] and (ws := plain_words(r[1]))]
+    if any(k in KINDS for k, *_ in labelled):
+        labelled += [("abusive", t, tuple(plain_words(t))) for texts in GENERAL.values() for t in texts]
     names = frozenset(w.lower() for k, t, _ in labelled if k in KINDS and not t.istitle() for w in _WORD.findall(t)[1:] if w[:1].isupper())
     kind = dict(rows.dtypes)[id_col]
 
