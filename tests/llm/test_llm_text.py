@@ -165,6 +165,50 @@ def test_details():
     assert kinds == [{"email"}, {"email"}, {"phone"}, {"id_number"}, {"address"}, {"person_name"}, set(), set(), set(), set()]
 
 
+def _random_model(rng, skip):
+    return privacy.Model({}, {}, *[None] * 5, rng.normal(size=(6, 6)), skip)
+
+
+def test_labels_are_the_best_of_all():
+    """Decoding of many chains at once, with pruning, against all labellings of each chain."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        m = _random_model(rng, 0.0)
+        sizes = rng.integers(1, 5, 6)
+        starts = np.cumsum(sizes) - sizes
+        unary = rng.normal(size=(sizes.sum(), 6)) * 2
+        unary[:, 0] += rng.choice([0.0, 3.0, 9.0], sizes.sum())
+        got = privacy.decode(unary, m, starts, sizes, lambda d: [], np.zeros(sizes.sum(), bool))
+        for a, n in zip(starts, sizes):
+            value = lambda y: sum(unary[a + i, k] for i, k in enumerate(y)) + sum(m.trans[p, q] for p, q in zip(y[:-1], y[1:]))
+            assert abs(value(got[a : a + n]) - max(value(y) for y in itertools.product(range(6), repeat=int(n)))) < 1e-9
+
+
+def test_marginals_against_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    unary, trans = rng.normal(size=(7, 6)), rng.normal(size=(6, 6))
+    starts, sizes = np.array([0, 4]), np.array([4, 3])
+    got, pair = privacy._marginals(unary, trans, privacy._by_position(starts, sizes))
+    want, pairs = np.zeros((7, 6)), np.zeros((6, 6))
+    for a, n in zip(starts, sizes):
+        every = list(itertools.product(range(6), repeat=int(n)))
+        w = np.exp([sum(unary[a + i, k] for i, k in enumerate(y)) + sum(trans[p, q] for p, q in zip(y[:-1], y[1:])) for y in every])
+        for y, x in zip(every, w / w.sum()):
+            for i, k in enumerate(y):
+                want[a + i, k] += x
+            for p, q in zip(y[:-1], y[1:]):
+                pairs[p, q] += x
+    assert np.allclose(got, want) and np.allclose(pair, pairs)
+
+
 def test_skip_edges_carry_labels():
     import numpy as np
 
@@ -172,9 +216,23 @@ def test_skip_edges_carry_labels():
     unary[:, 0] = 8.0
     unary[1, privacy.NAME] = 16.0
     unary[7, privacy.NAME] = 7.5
-    trans = np.zeros((6, 6))
-    assert privacy.decode(unary, trans, [])[7] == 0
-    assert privacy.decode(unary, trans, [(1, 7)])[7] == privacy.NAME
+    m = privacy.Model({}, {}, *[None] * 5, np.zeros((6, 6)), 1.5)
+    every = np.ones(9, bool)
+    assert privacy.decode(unary, m, np.array([0]), np.array([9]), lambda d: [], every)[7] == 0
+    assert privacy.decode(unary, m, np.array([0]), np.array([9]), lambda d: [(1, 7)], every)[7] == privacy.NAME
+    assert privacy.links(["Priya", "said", "that", "Priya’s", "PRÍYA"], [0, 50, 50, 6, 7], []) == [(0, 3)]
+
+
+def test_details_beyond_the_patterns():
+    """A number in a shape no pattern accepts is found by its characters and context."""
+    rng = random.Random(8)
+    plain = ["the price went up but nothing got better", "i was charged twice this month", "the queue is gone again since the update"]
+    train = [f"{rng.choice(plain)}. version 8.{i}.{i}4567 here." for i in range(200)]
+    for i in range(200):
+        train += [f"please call {100 + i} 555 {1000 + 7 * i} now", f"please call +44 7700 900 {100 + i} now"]
+    f = privacy.Finder(privacy.train(train, {}))
+    text = "please call 44 555 900 now"
+    assert not [k for *_, k in privacy.spans(text) if k == privacy.PHONE] and {privacy.LABELS[k] for *_, k in f([text])[0]} == {"phone"}
 
 
 def test_names_in_letters():
