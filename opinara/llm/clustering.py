@@ -182,7 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def missed_links(p: Prepared, found: DataFrame, least: float) -> DataFrame:
     """(u, v): the labels, u > v, of linked vectors of different components, by comparing all vectors at 16 bits."""
-    rows = p.classes.join(found, "h", "left").select("h", F.coalesce("label", "h").alias("label"), "q")
+    # joined the same way at every size: a broadcast of the labels would not be bounded
+    rows = p.classes.join(found.hint("shuffle_hash"), "h", "left").select("h", F.coalesce("label", "h").alias("label"), "q")
 
     def gather(parts):  # noqa: ANN001, ANN202
         for batch in parts:
