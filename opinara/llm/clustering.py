@@ -25,7 +25,7 @@ from opinara.llm.vectors import SALTS, Prepared, blocks, by_block, packed, stack
 from opinara.runtime import drop_written, written
 
 LINK = 0.60
-CENTRES = (8, 8192)
+CENTRES = (8, 32_768)
 CENTRE_FACTOR = 4.0
 SEED_PASSES = 3
 ROUNDS = 2

@@ -86,6 +86,42 @@ def test_neighbours_recall(spark):
     assert all(r["id"] not in {o["id"] for o in r["neighbours"]} and len(r["neighbours"]) <= 10 for r in got)
 
 
+def test_footrule_decides():
+    """Distances against the definition; in a file of more rows than are ranked again, only the nearest orders are."""
+    rng = np.random.default_rng(2)
+    n, m, width = 300, 30, 8
+    order = np.array([rng.permutation(m)[:width] for _ in range(n)])
+    ranks = neighbours.Footrule(order)
+
+    def plain(a, b):
+        place = lambda o, p: int(np.flatnonzero(o == p)[0]) if p in o else width
+        return sum(abs(place(a, p) - place(b, p)) for p in set(a) | set(b))
+
+    for i in (0, 7, 299):
+        assert ranks.of(i).tolist() == [plain(order[i], o) for o in order]
+    x = rng.normal(size=(n, 20)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r, c, s = neighbours.search_file(np.arange(n), order, x, 5, 40, 0.1)
+    for i in range(0, n, 25):
+        far = ranks.of(i)
+        allowed = np.flatnonzero(far <= np.sort(far)[39])
+        best = sorted((-float(x[i] @ x[j]), int(j)) for j in allowed if j != i)[:5]
+        assert {int(j) for j in c[r == i]} == {j for _, j in best}
+    full = neighbours.search_file(np.arange(n), order, x, 5, n, 1.0)
+    assert (set(zip(r, c)) != set(zip(*full[:2]))) and len(full[0]) == 5 * n
+
+
+def test_neighbours_recall_where_the_footrule_decides(spark):
+    x, df = _data(spark, seed=5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, 1)[:, -10]
+    got = neighbours.nearest(vectors.prepared(df), rerank=30).collect()
+    hits = sum(s[int(r["id"][1:]), int(o["id"][1:])] >= kth[int(r["id"][1:])] - 3e-4 for r in got for o in r["neighbours"])
+    assert hits >= 0.9 * 10 * len(x)
+
+
 def test_blocks_meet_all_pairs(spark):
     rows = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 99)], "cell int, h bigint")
     got = vectors.blocks(rows, "cell", {1: 40, 2: 1}, most=16)
