@@ -1,73 +1,62 @@
 """Filling containers of fixed capacity by vector best-fit.
 
 An item is a whole text, or a piece of a text longer than the capacity: such a text is cut into full pieces and one
-rest.  Every bin has three residual capacities: tokens, items, and attention cost (the sum of squared item lengths).
-Items come largest first; an item goes to the open bin, among those that can take it under every constraint, with
-the smallest weighted norm of what would be left.  Full pieces fill bins of their own.
+rest.  Every bin has three residual capacities: tokens; items, ``capacity / ITEM_TOKENS`` of them; and attention cost,
+the sum of squared item lengths, ``ATTENTION_SHARE`` of the squared capacity (a single item always fits).  Items come
+largest first; an item goes to the open bin, among all those that can take it under every constraint, with the
+smallest weighted norm of what would be left of the three capacities.  Full pieces fill bins of their own.
 
 Items are packed in independent shards of about ``SHARD_ITEMS`` items, chosen by a hash of the id, so that no shard
 grows with the data; each shard leaves at most its last few bins partly filled.
 
 Defined results: texts without tokens are left out; equal texts are separate items; a budget without a positive
-capacity gets no bins; two items of equal length are ordered by id; columns beside the named ones are ignored.
+capacity gets no bins; a budget table of more than ``BUDGET_LIMIT`` rows is refused; two items of equal length are
+ordered by id, two equally good bins by age; columns beside the named ones are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_ITEMS = 20_000
-ITEMS_SHARE = 0.25  # items a bin may hold, as a share of its capacity in tokens
-WEIGHTS = (1.0, 0.05, 0.05)  # tokens, items, attention
-CANDIDATES = 24
+SHARD_ITEMS = 10_000
+ITEM_TOKENS = 16  # a bin takes one item for every so many tokens of its capacity
+ATTENTION_SHARE = 0.85
+WEIGHTS = (1.0, 0.1, 0.2)  # tokens, items, attention
 BUDGET_LIMIT = 1000
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin of each item; sizes are at most ``capacity`` and sorted from large to small.
-
-    Open bins are kept sorted by free tokens.  The norm is led by its token term, so the best bin lies among the
-    ``CANDIDATES`` tightest ones that fit; if every one of them fails another constraint, the search goes on upwards.
-    """
-    most = max(1, int(capacity * ITEMS_SHARE))
-    attention = float(capacity) ** 2
-    free, count, cost = [], [], []
-    order: list[tuple[int, int]] = []  # (free tokens, bin)
-    where = np.empty(len(sizes), np.int64)
-    wt, wi, wa = WEIGHTS
-    smallest = int(sizes[-1]) if len(sizes) else 0
-    for i, n in enumerate(sizes.tolist()):
-        square = float(n) * n
-        best, norm = -1, np.inf
-        k = bisect_left(order, (n, -1))
-        seen = 0
-        while k < len(order) and (seen < CANDIDATES or best < 0):
-            left, b = order[k]
-            if count[b] < most and cost[b] + square <= attention:
-                t, c, a = (left - n) / capacity, (most - count[b] - 1) / most, 1 - (cost[b] + square) / attention
-                value = wt * t * t + wi * c * c * 0.01 + wa * a * a * 0.01
-                if value < norm:
-                    best, norm, at = b, value, k
-            seen += 1
-            k += 1
-        if best < 0:
-            best = len(free)
-            free.append(capacity)
-            count.append(0)
-            cost.append(0.0)
-        else:
-            del order[at]
-        free[best] -= n
-        count[best] += 1
-        cost[best] += square
-        if free[best] >= smallest and count[best] < most:
-            insort(order, (free[best], best))
-        where[i] = best
+def best_fit(sizes: np.ndarray, capacity: int, items: int | None = None, attention: float | None = None) -> np.ndarray:
+    """Bin of each item; sizes are at most ``capacity`` and sorted from large to small."""
+    items = max(1, capacity // ITEM_TOKENS) if items is None else items
+    attention = ATTENTION_SHARE * float(capacity) ** 2 if attention is None else attention
+    n, bins, m = len(sizes), 0, 0
+    where = np.empty(n, np.int64)
+    # the open bins, oldest first: residual tokens, items and attention, and number
+    left, room, cost, name = (np.empty(64) for _ in range(4))
+    wt, wi, wa = WEIGHTS[0] / capacity**2, WEIGHTS[1] / items**2, WEIGHTS[2] / attention**2
+    smallest = float(sizes[-1]) if n else 0.0
+    for i, size in enumerate(sizes.tolist()):
+        square = float(size) * size
+        t, a = left[:m] - size, cost[:m] - square
+        value = np.where((t >= 0) & (a >= 0), wt * t * t + wi * (room[:m] - 1) ** 2 + wa * a * a, np.inf)
+        k = int(value.argmin()) if m else 0
+        if m == 0 or value[k] == np.inf:
+            if m == len(left):
+                left, room, cost, name = (np.concatenate([x, np.empty(m)]) for x in (left, room, cost, name))
+            k, m = m, m + 1
+            left[k], room[k], cost[k], name[k] = capacity, items, attention, bins
+            bins += 1
+        left[k] -= size
+        room[k] -= 1
+        cost[k] -= square
+        where[i] = int(name[k])
+        if left[k] < smallest or room[k] < 1 or cost[k] < smallest * smallest:
+            for x in (left, room, cost, name):
+                x[k : m - 1] = x[k + 1 : m]
+            m -= 1
     return where
 
 
@@ -88,7 +77,9 @@ def pack(items: DataFrame, budgets: DataFrame, shards: int) -> DataFrame:
     """
     kind = dict(items.dtypes)["doc_id"]
     schema = _SCHEMA.format(id=kind)
-    listed = budgets.where("capacity_tokens > 0").dropDuplicates(["budget_name"]).limit(BUDGET_LIMIT).collect()
+    listed = budgets.where("capacity_tokens > 0").groupBy("budget_name").agg(F.max("capacity_tokens").alias("capacity_tokens")).orderBy("budget_name").limit(BUDGET_LIMIT + 1).collect()
+    if len(listed) > BUDGET_LIMIT:
+        raise ValueError(f"more than {BUDGET_LIMIT} budgets")
     each = F.array(*[F.struct(F.lit(b["budget_name"]).alias("budget_name"), F.lit(int(b["capacity_tokens"])).cast("bigint").alias("capacity_tokens")) for b in listed])
     both = items.where("n_tokens > 0").select("doc_id", "n_tokens", F.inline(each))
     whole = both.select("*", F.expr("cast(n_tokens div capacity_tokens as int)").alias("full"), F.expr("n_tokens % capacity_tokens").alias("rest"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm.mixing import mix, shares
+from opinara.llm import topics
+from opinara.llm.mixing import margins, mix, shares
 from opinara.llm.packing import SHARD_ITEMS, pack
 from opinara.llm.tokens import count_tokens
 from opinara.runtime import written
@@ -29,9 +30,14 @@ def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("unused_share", F.round(1 - F.col("used_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6))
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    counted = count_tokens(docs.select("doc_id", "source", "lang", "text"), keep=("source", "lang"), topic=topics.fitted(docs.select("text")))
+    return written(counted, "document-tokens")
+
+
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    docs = count_tokens(table(spark, d, "documents").select("doc_id", "source", "lang", "title", "text"), keep=("source", "lang", "title"))
-    return mix(docs, table(spark, d, "mix_targets"), topic=F.lower(F.substring_index("title", " on ", 1)))
+    return mix(_counted(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +50,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p8_assignment, p8_bins, p9_selection, p9_shares)}
+def p9_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics in the pool and in the selection of every mix."""
+    docs, targets = _counted(spark, d), table(spark, d, "mix_targets")
+    return margins(mix(docs, targets), docs, targets)
+
+
+QUERIES = {f.__name__: f for f in (p8_assignment, p8_bins, p9_selection, p9_shares, p9_margins)}
 SQL: dict[str, str] = {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from opinara.runtime import spread
 
-TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Path of the rank file of a public tokenizer; the setting of this name in the session or environment overrides it.
+PATH_SETTING = "opinara.tokenizer.path"
+TOKENIZER_PATH = os.environ.get("OPINARA_TOKENIZER_PATH", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the published splitting pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -29,14 +32,18 @@ def encoder(path: str):  # noqa: ANN201
     return _encoders[path]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), path: str = TOKENIZER_PATH) -> DataFrame:
-    """Rows of (id, kept columns, n_tokens); null and empty texts have 0 tokens."""
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), path: str | None = None, topic: Callable[[list[str | None]], list[str]] | None = None) -> DataFrame:
+    """Rows of (id, kept columns, n_tokens, and topic where a model is given); null and empty texts have 0 tokens."""
     types = dict(docs.dtypes)
     cols = [id_col, *keep]
+    path = path or docs.sparkSession.conf.get(PATH_SETTING, TOKENIZER_PATH)
+    shared = docs.sparkSession.sparkContext.broadcast(topic) if topic else None  # centroids of fixed number and size
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in parts:
-            yield pdf[cols].assign(n_tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text_col]])
+            out = pdf[cols].assign(n_tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text_col]])
+            yield out.assign(topic=shared.value(pdf[text_col].tolist())) if shared else out
 
-    return spread(docs.select(*cols, text_col), id_col).mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", n_tokens bigint")
+    schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", n_tokens bigint" + (", topic string" if topic else "")
+    return spread(docs.select(*cols, text_col), id_col).mapInPandas(run, schema)

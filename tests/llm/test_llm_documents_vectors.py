@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.llm import clustering, neighbours, vectors
-from opinara.llm.mixing import mix, rake, shares
+from opinara.llm import clustering, neighbours, topics, vectors
+from opinara.llm.mixing import margins, mix, rake, shares
 from opinara.llm.packing import best_fit, pack
 from opinara.llm.tokens import count_tokens
 
@@ -14,10 +14,34 @@ def test_best_fit_is_tight_and_whole():
     where = best_fit(sizes, 256)
     used = np.bincount(where, sizes)
     assert used.max() <= 256 and used.sum() == sizes.sum() and used.mean() > 0.97 * 256
-    assert np.bincount(where).max() <= 64
+    many, attention = np.bincount(where), np.bincount(where, sizes.astype(float) ** 2)
+    assert many.max() <= 16 and (attention[many > 1] <= 0.85 * 256**2).all()
     assert len(best_fit(np.zeros(0, int), 256)) == 0
 
 
+def test_every_constraint_decides():
+    """Each choice against all open bins by the definition; without a constraint the bins differ."""
+    from opinara.llm.packing import WEIGHTS
+
+    rng = np.random.default_rng(7)
+    cap, items, attention = 100, 5, 0.5 * 100**2
+    sizes = np.sort(rng.integers(1, 90, 400))[::-1]
+    bins, want = [], []
+    for n in sizes.tolist():
+        fits = [(WEIGHTS[0] * ((t - n) / cap) ** 2 + WEIGHTS[1] * ((r - 1) / items) ** 2 + WEIGHTS[2] * ((a - n * n) / attention) ** 2, k) for k, (t, r, a) in enumerate(bins) if t >= n and r >= 1 and a >= n * n]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append((cap, items, attention))
+        t, r, a = bins[k]
+        bins[k] = (t - n, r - 1, a - n * n)
+        want.append(k)
+    assert best_fit(sizes, cap, items, attention).tolist() == want
+    for free in ((10**9, attention), (items, 1e18), (10**9, 1e18)):
+        assert best_fit(sizes, cap, *free).max() < max(want)
+
+
 def test_pack_round_trip(spark):
     items = spark.createDataFrame([(i, n) for i, n in enumerate([0, 1, 256, 257, 1000, 30, 30, 255])], "doc_id bigint, n_tokens bigint")
     budgets = spark.createDataFrame([("tiny", 256), ("none", 0)], "budget_name string, capacity_tokens bigint")
@@ -47,6 +71,18 @@ def test_mix_reaches_shares(spark):
     assert sel.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_topics(spark):
+    texts = [f"guitar drums melody chorus {i}" for i in range(40)] + [f"invoice refund payment charge {i}" for i in range(40)]
+    m = topics.fit(texts, 2)
+    got = m(texts + ["", None, "a b c"])
+    assert len(set(got[:40])) == len(set(got[40:80])) == 1 and got[0] != got[40] and got[80:] == ["none"] * 3
+    assert topics.fit([])(["guitar"]) == ["none"]
+    df = spark.createDataFrame([(i, "a", None, 10 + i, t) for i, t in enumerate(m(texts))], "doc_id int, source string, lang string, n_tokens int, topic string")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source_name string, target_share double, max_repeats int")
+    rows = margins(mix(df, targets), df, targets).collect()
+    assert {r["margin"] for r in rows} == {"lang", "topic"} and all(abs(r["pool_share"] - r["actual_share"]) < 0.02 for r in rows)
+
+
 def test_rake_margins():
     t = np.array([10.0, 20, 30, 40])
     w = rake(t, [np.array([50.0, 50]), np.array([40.0, 60])], [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], np.full(4, 9.0))
