@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm.chains import by_position
 from opinara.runtime import spread
 
 LABELS = ("other", "email", "phone", "id_number", "address", "person_name")
@@ -260,18 +261,6 @@ def _context(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return left, left2, right
 
 
-def _by_position(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The tokens of chains in order of their position, at each position by falling chain length; and the range of
-    every position, so that the tokens of a position continue the first ones of the position before."""
-    order = np.argsort(-sizes, kind="stable")
-    many = np.bincount(sizes, minlength=int(sizes.max(initial=0)) + 1)[::-1].cumsum()[::-1][1:]
-    ends = many.cumsum()
-    at = np.arange(int(ends[-1])) if len(ends) else np.zeros(0, np.int64)
-    position = np.repeat(np.arange(len(many)), many)
-    token = starts[order][at - np.repeat(ends - many, many)] + position
-    return token, list(zip((ends - many).tolist(), ends.tolist()))
-
-
 def _marginals(score: np.ndarray, trans: np.ndarray, chains: tuple[np.ndarray, list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Token marginals of all chains, and the summed pair marginals, by scaled forward-backward."""
     token, ranges = chains
@@ -306,7 +295,7 @@ def _fit(feats: list[np.ndarray], y: np.ndarray, use: np.ndarray, size: int, sta
     g2 = [np.full(x.shape, 1e-8) for x in w]
     target = np.eye(6)[y]
     balance = (use * np.where(y == OTHER, 1.0, 2.0))[:, None]
-    chains = _by_position(starts, sizes)
+    chains = by_position(starts, sizes)
     inner = np.ones(len(y), bool)
     inner[starts] = False
     at = np.flatnonzero(inner)
@@ -416,13 +405,13 @@ def train(texts: list[str], names: dict[str, int]) -> Model:
         w, trans, p = _fit(feats, y, np.where(rare & beside & ~named, 0.3, 1.0), size, at, length)
     blind = ids.copy()
     blind[pairs.ravel()] = np.where(ids[pairs.ravel()] < 2, 6, ids[pairs.ravel()])
-    p = _marginals(sum(wk[f] for wk, f in zip(w, [blind, *feats[1:]])), trans, _by_position(at, length))[0]
+    p = _marginals(sum(wk[f] for wk, f in zip(w, [blind, *feats[1:]])), trans, by_position(at, length))[0]
     return Model(known, names, *[x.astype(np.float32) for x in w], trans, _skip_weight(p, y, pairs))
 
 
 def beliefs(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Max-marginals of all chains at once; tokens outside the chains get zeros."""
-    token, ranges = _by_position(starts, sizes)
+    token, ranges = by_position(starts, sizes)
     u = unary[token]
     fwd, bwd = u.copy(), np.zeros_like(u)
     for (p, _), (a, b) in zip(ranges[:-1], ranges[1:]):

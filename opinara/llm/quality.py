@@ -2,7 +2,10 @@
 
 Each line becomes a vector of binned statistics; a four-state model (prose, list, table, junk) with sticky
 transitions labels the lines of a document by Viterbi.  The model starts from the tables below and is re-estimated by
-expectation maximisation on at most ``SAMPLE_DOCS`` documents, the tables acting as prior counts.
+``EM_ROUNDS`` rounds of expectation maximisation over all lines of all documents: every partition adds up its expected
+counts, which Spark sums to one small table.  The tables below keep a fixed share of the weight.
+
+The lines are read once; their bins are written to a compact table, on which the rounds and the labelling work.
 
 Defined results: null and blank texts have zero words, no lines and are not prose; repeated documents each get their
 row; texts of any length are read whole; columns beside the named ones are ignored.
@@ -15,16 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.runtime import bounded_sample, spread
+from opinara.llm.chains import by_position
+from opinara.runtime import spread, written
 
 STATES = ("prose", "list", "table", "junk")
-SAMPLE_DOCS = 1500
-PRIOR_COUNT = 400.0
-EM_ROUNDS = 3
+DATA_SHARE = 0.5  # weight of the counts beside the tables, at every size of the input
+EM_ROUNDS = 2
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -41,7 +43,11 @@ FUNCTION_WORDS = {
 }
 _COMMON = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}’'\-]*")
+_WORD = re.compile("[^\\W\\d_][\\w\u0300-\u036f\u0900-\u0dff’'\\-]*")
+_SYMBOL = re.compile("[^\\w.,!?'’\"“”«»।…\u0300-\u036f\u0900-\u0dff\\-]|_")
+_DIGIT = re.compile(r"\d")
+_OTHER = re.compile(r"[\W_]")
+_SENTENCE = re.compile(r"[.!?।]+(?:\s|$)")
 _BULLET = re.compile(r"^\s*(?:[-*•·‣▪◦–—+>]\s|\[[ xX]?\])")
 _NUMBERED = re.compile(r"^\s*(?:\(?\d{1,4}[.)]\s|\(?[a-zA-Z][.)]\s|\d{1,2}:\d{2}(?::\d{2})?\s|\d{4}-\d\d-\d\d[ T])")
 _COLUMNS = re.compile(r"\t|\||\S {2,}\S|;")
@@ -85,26 +91,28 @@ def _variety(words: list[str]) -> float:
     return sum(shares) / len(shares)
 
 
-def line_features(text: str) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
-    """Bins of every line with content; beside them (characters without blanks, words, sentences)."""
+def line_features(text: str) -> tuple[list[list[int]], list[tuple[int, int, int, int, int, int]]]:
+    """Bins of every line with content; beside them (characters without blanks, sentences, words, letters of words,
+    common words, letters and digits)."""
     bins, sizes, last = [], [], None
     for line in text.split("\n"):
-        body = "".join(line.split())
-        if not body:
+        tokens = line.split()
+        if not tokens:
             continue
+        body = "".join(tokens)
         n = len(body)
-        words = [w.lower() for w in _WORD.findall(line)]
+        words = _WORD.findall(line.lower())
         nw = len(words)
-        digits = sum(c.isdigit() for c in body) / n
-        plain = sum(c.isalnum() or c in ".,!?'’\"“”«»।-…" or "̀" <= c <= "ͯ" or "ऀ" <= c <= "෿" for c in body)
-        symbols = 1 - plain / n
-        common = sum(w in _COMMON for w in words) / nw if nw else 0.0
-        cells = 9 if _RULE.match(line) and "|" in line else len(_COLUMNS.findall(line))
-        if cells < 2 and line.count(",") >= 3 and nw <= 4 * (line.count(",") + 1) and nw / (line.count(",") + 1) <= 2 and common < 0.2:
+        digits = len(_DIGIT.findall(body)) / n
+        symbols = len(_SYMBOL.findall(body)) / n
+        n_common = sum(map(_COMMON.__contains__, words))
+        common = n_common / nw if nw else 0.0
+        cells = 9 if "|" in line and _RULE.match(line) else len(_COLUMNS.findall(line))
+        commas = line.count(",")
+        if cells < 2 and commas >= 3 and nw <= 4 * (commas + 1) and nw / (commas + 1) <= 2 and common < 0.2:
             cells = 3
-        tokens = line.split()
-        caps = sum(t[:1].isupper() for t in tokens) / len(tokens)
-        shape = (len(tokens) if len(tokens) < 4 else 4 + len(tokens) // 3, round(digits * 5), cells, bool(_BULLET.match(line)), bool(_NUMBERED.match(line)), tokens[-1][-1:].isalnum())
+        caps = sum([t[0].isupper() for t in tokens]) / len(tokens)
+        shape = (len(tokens) if len(tokens) < 4 else 4 + len(tokens) // 3, round(digits * 5), cells, bool(_BULLET.match(line)), bool(_NUMBERED.match(line)), tokens[-1][-1].isalnum())
         variety = _variety(words)
         longest = max(map(len, tokens))
         bins.append([
@@ -114,105 +122,161 @@ def line_features(text: str) -> tuple[list[list[int]], list[tuple[int, int, int]
             0 if nw <= 2 else 1 if nw <= 6 else 2 if nw <= 14 else 3,
             2 if shape[4] else 1 if shape[3] else 0,
             2 if cells >= 2 else min(cells, 1),
-            1 if _END.search(line) else 0,
+            1 if _END.search(line[-40:]) else 0,
             1 if shape == last else 0,
             0 if variety >= 0.72 else 1 if variety >= 0.5 else 2,
             1 if longest >= 25 and longest > 0.15 * n else 0,
             1 if caps >= 0.5 and len(tokens) >= 2 else 0,
         ])
-        sizes.append((n, nw, max(1, len(re.findall(r"[.!?।]+(?:\s|$)", line)))))
+        sizes.append((n, max(1, len(_SENTENCE.findall(line))), nw, sum(map(len, words)), n_common, n - len(_OTHER.findall(body))))
         last = shape
     return bins, sizes
 
 
-def _log_emission(bins: list[list[int]], emit: np.ndarray) -> np.ndarray:
-    b = np.asarray(bins)
-    return emit[np.arange(b.shape[1])[None, :], b].sum(1)
+Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def viterbi(obs: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    score, back = start + obs[0], np.zeros((len(obs), 4), np.int8)
-    for i in range(1, len(obs)):
-        through = score[:, None] + trans
-        back[i] = through.argmax(0)
-        score = through.max(0) + obs[i]
-    path = np.zeros(len(obs), np.int8)
-    path[-1] = score.argmax()
-    for i in range(len(obs) - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+def _emission(bins: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Log likelihood of every line under every state."""
+    out = np.zeros((len(bins), 4))
+    for f in range(len(EMISSIONS)):
+        out += emit[f][bins[:, f]]
+    return out
 
 
-def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation maximisation with the tables as prior counts; a long sample text gives its first 400 lines."""
-    start, trans, emit = start_model()
-    docs = [np.asarray(b[:400]) for b in (line_features(t)[0] for t in texts) if b]
-    feats = np.arange(len(EMISSIONS))
-    p0, pt, pe = np.exp(start) * PRIOR_COUNT, np.exp(trans) * PRIOR_COUNT, np.exp(emit) * PRIOR_COUNT
-    for _ in range(EM_ROUNDS):
-        c0, ct, ce = p0.copy(), pt.copy(), pe.copy()
-        a = np.exp(trans)
-        for b in docs:
-            obs = emit[feats[None, :], b].sum(1)
-            like = np.exp(obs - obs.max(1, keepdims=True))
-            fwd = np.zeros_like(like)
-            fwd[0] = np.exp(start) * like[0]
-            fwd[0] /= fwd[0].sum()
-            for i in range(1, len(b)):
-                fwd[i] = (fwd[i - 1] @ a) * like[i]
-                fwd[i] /= fwd[i].sum()
-            bwd = np.ones_like(like)
-            for i in range(len(b) - 2, -1, -1):
-                bwd[i] = a @ (bwd[i + 1] * like[i + 1])
-                bwd[i] /= bwd[i].sum()
-            post = fwd * bwd
-            post /= post.sum(1, keepdims=True)
-            c0 += post[0]
-            for i in range(len(b) - 1):
-                x = fwd[i][:, None] * a * (like[i + 1] * bwd[i + 1])[None, :]
-                ct += x / x.sum()
-            for f in feats:
-                np.add.at(ce[f], b[:, f], post)
-        start, trans = np.log(c0 / c0.sum()), np.log(ct / ct.sum(1, keepdims=True))
-        emit = np.log(ce / ce.sum(1, keepdims=True))
-    return start, trans, emit
+def viterbi(bins: np.ndarray, sizes: np.ndarray, model: Parameters) -> np.ndarray:
+    """The best state of every line of many documents at once; ``sizes`` are their numbers of lines."""
+    start, trans, emit = model
+    token, ranges = by_position(np.cumsum(sizes) - sizes, sizes)
+    score = _emission(bins, emit)[token]
+    back = np.zeros(score.shape, np.int8)
+    for i, (a, b) in enumerate(ranges):
+        if i:
+            p = ranges[i - 1][0]
+            through = score[p : p + b - a][:, :, None] + trans
+            back[a:b] = through.argmax(1)
+            score[a:b] += through.max(1)
+        else:
+            score[a:b] += start
+    path = score.argmax(1).astype(np.int8)  # right for last lines; the others follow the line after them
+    for (p, _), (a, b) in zip(ranges[-2::-1], ranges[:0:-1]):
+        path[p : p + b - a] = back[np.arange(a, b), path[a:b]]
+    out = np.empty(len(bins), np.int8)
+    out[token] = path
+    return out
 
 
+def expected(bins: np.ndarray, sizes: np.ndarray, model: Parameters) -> np.ndarray:
+    """Expected counts of starts, transitions and emissions of many documents, as one row."""
+    start, trans, emit = model
+    token, ranges = by_position(np.cumsum(sizes) - sizes, sizes)
+    obs = _emission(bins, emit)[token]
+    like = np.exp(obs - obs.max(1, keepdims=True))
+    t, one = np.exp(trans), np.ones(4)
+    fwd, bwd = like.copy(), np.ones_like(like)
+    counts = np.zeros((4, 4))
+    for i, (a, b) in enumerate(ranges):
+        fwd[a:b] *= fwd[ranges[i - 1][0] : ranges[i - 1][0] + b - a] @ t if i else np.exp(start)
+        fwd[a:b] /= (fwd[a:b] @ one)[:, None]
+    for (p, _), (a, b) in zip(ranges[-2::-1], ranges[:0:-1]):
+        right = bwd[a:b] * like[a:b]
+        back = right @ t.T
+        left = fwd[p : p + b - a]
+        counts += ((left / ((left * back) @ one)[:, None]).T @ right) * t
+        bwd[p : p + b - a] = back / (back @ one)[:, None]
+    post = fwd * bwd
+    post /= (post @ one)[:, None]
+    seen = np.zeros((len(EMISSIONS), _BINS, 4))
+    at = bins[token]
+    for f in range(len(EMISSIONS)):
+        for k in range(4):
+            seen[f, :, k] = np.bincount(at[:, f], post[:, k], _BINS)
+    first = post[: ranges[0][1]].sum(0) if ranges else np.zeros(4)
+    return np.concatenate([first, counts.ravel(), seen.ravel()])
+
+
+def updated(counts: np.ndarray) -> Parameters:
+    """The parameters as a mixture of the tables and the shares of the expected counts."""
+    parts = counts[:4], counts[4:20].reshape(4, 4), counts[20:].reshape(len(EMISSIONS), _BINS, 4)
+    out = []
+    for table, c, axis in zip(start_model(), parts, (0, 1, 1)):
+        total = c.sum(axis, keepdims=True)
+        p = np.exp(table) / np.exp(table).sum(axis, keepdims=True)
+        out.append(np.log(np.where(total > 0, (1 - DATA_SHARE) * p + DATA_SHARE * c / np.maximum(total, 1e-12), p)))
+    return out[0], out[1], out[2]
+
+
+LINES = "bins binary, sizes array<int>"
 RESULT = "n_words bigint, n_lines bigint, mean_word_length double, symbol_ratio double, ending_share double, common_share double, prose_share double, list_share double, table_share double, junk_share double, is_prose boolean"
+_FIELDS = 6
 
 
-def describe(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
-    text = text or ""
-    bins, sizes = line_features(text)
-    if not bins:
-        return (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
-    start, trans, emit = model
-    path = viterbi(_log_emission(bins, emit), start, trans)
-    words = _WORD.findall(text)
-    chars = sum(n for n, _, _ in sizes)
-    share = [0.0] * 4
-    lines = [0] * 4
-    for k, (n, _, _) in zip(path, sizes):
-        share[k] += n / chars
-        lines[k] += 1
-    sentences = sum(s for k, (_, _, s) in zip(path, sizes) if k == 0)
-    other = len(bins) - lines[0]
-    alnum = sum(c.isalnum() for c in text)
-    is_prose = share[0] > 0.5 and not (sentences <= 1 and other >= 3)
-    return (len(words), len(bins), sum(map(len, words)) / max(1, len(words)), 1 - alnum / max(1, chars), sum(b[6] for b in bins) / len(bins), sum(w.lower() in _COMMON for w in words) / max(1, len(words)), *share, is_prose)
+def coded(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The bins of the lines of every text, and the sizes of the lines one after another."""
+    rows = [line_features(t or "") for t in texts]
+    return [np.array(b, np.uint8).tobytes() for b, _ in rows], [np.array(s, np.int32).ravel() for _, s in rows]
+
+
+def _stacked(bins: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    width = len(EMISSIONS)
+    return np.frombuffer(b"".join(bins), np.uint8).reshape(-1, width), np.array([len(b) // width for b in bins], np.int64)
+
+
+def described(bins: list[bytes], sizes: list[np.ndarray], model: Parameters) -> list[tuple]:
+    """The statistics of documents, in the order of ``RESULT``."""
+    flat, many = _stacked(bins)
+    full = np.flatnonzero(many)
+    path = viterbi(flat, many[full], model) if len(full) else np.zeros(0, np.int8)
+    out: list[tuple] = [(0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)] * len(bins)
+    ends = np.cumsum(many)
+    for d in full.tolist():
+        n = int(many[d])
+        a = int(ends[d]) - n
+        own, x = path[a : a + n], np.asarray(sizes[d]).reshape(n, _FIELDS)
+        chars, _, words, letters, common, alnum = x.sum(0).tolist()
+        share = np.bincount(own, x[:, 0], 4) / chars
+        sentences, other = int(x[own == 0, 1].sum()), int((own != 0).sum())
+        is_prose = bool(share[0] > 0.5 and not (sentences <= 1 and other >= 3))
+        out[d] = (words, n, letters / max(1, words), 1 - alnum / max(1, chars), float(flat[a : a + n, 6].sum()) / n, common / max(1, words), *share.tolist(), is_prose)
+    return out
 
 
 def text_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its statistics, the share of its characters under each line label, and ``is_prose``."""
-    model = fit(bounded_sample(docs.where(F.length(text_col) < 200_000), text_col, SAMPLE_DOCS))
     kind = dict(docs.dtypes)[id_col]
+    spark = docs.sparkSession
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            bins, sizes = coded(pdf[text_col].tolist())
+            yield pd.DataFrame({id_col: pdf[id_col], "bins": bins, "sizes": sizes})
+
+    lines = written(spread(docs.select(id_col, text_col), id_col).mapInPandas(read, f"{id_col} {kind}, {LINES}"), "document-lines")
+    model = start_model()
+    for _ in range(EM_ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def count(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            total = None
+            for pdf in parts:
+                flat, many = _stacked(pdf["bins"].tolist())
+                if many.any():
+                    x = expected(flat, many[many > 0], shared.value)
+                    total = x if total is None else total + x
+            if total is not None:
+                yield pd.DataFrame({"place": np.arange(len(total)), "n": total})
+
+        sums = lines.select("bins").mapInPandas(count, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(20 + len(EMISSIONS) * _BINS * 4)
+        for r in sums:
+            counts[r["place"]] = r["n"]
+        model = updated(counts)
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RESULT.split(", ")]
+    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [describe(t, model) for t in pdf[text_col]]
-            out = pd.DataFrame(rows, columns=names, index=pdf.index)
+            out = pd.DataFrame(described(pdf["bins"].tolist(), pdf["sizes"].tolist(), model), columns=names, index=pdf.index)
             out.insert(0, id_col, pdf[id_col])
             yield out
 
-    return spread(docs.select(id_col, text_col), id_col).mapInPandas(run, f"{id_col} {kind}, {RESULT}")
+    return lines.mapInPandas(label, f"{id_col} {kind}, {RESULT}")

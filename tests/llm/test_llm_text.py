@@ -59,7 +59,36 @@ def test_line_labels():
         (prose + "\n- one\n- two\n" + prose * 4, True), ("$%^ &*( )_ #@! <> " * 30, False), ("free mp3 music download best app free music hits " * 20, False),
         ("It was fine.\n" + "\n".join(f"{i}. Track {i} - Artist  3:0{i}" for i in range(9)), False), (prose * 900, True),
     ]:
-        assert quality.describe(text, m)[-1] is want, text and text[:60]
+        assert quality.described(*quality.coded([text]), m)[0][-1] is want, text and text[:60]
+
+
+def test_line_model_against_all_paths():
+    """Viterbi and expected counts of several documents at once against every path of each."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    start, trans, emit = quality.start_model()
+    widths = [n for _, n, _ in quality.EMISSIONS]
+    sizes = np.array([3, 1, 4])
+    bins = np.stack([rng.integers(0, w, sizes.sum()) for w in widths], 1).astype(np.uint8)
+    path = quality.viterbi(bins, sizes, (start, trans, emit))
+    counts = quality.expected(bins, sizes, (start, trans, emit))
+    want = np.zeros_like(counts)
+    for a, n in zip(np.cumsum(sizes) - sizes, sizes):
+        obs = quality._emission(bins[a : a + n], emit)
+        every = list(itertools.product(range(4), repeat=int(n)))
+        logs = np.array([start[y[0]] + sum(obs[i, k] for i, k in enumerate(y)) + sum(trans[p, q] for p, q in zip(y[:-1], y[1:])) for y in every])
+        assert tuple(path[a : a + n]) == every[int(logs.argmax())]
+        for y, w in zip(every, np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()):
+            want[y[0]] += w
+            for p, q in zip(y[:-1], y[1:]):
+                want[4 + 4 * p + q] += w
+            for i, k in enumerate(y):
+                for f in range(len(widths)):
+                    want[20 + (f * quality._BINS + bins[a + i, f]) * 4 + k] += w
+    assert np.allclose(counts, want)
 
 
 def test_quality_rows(spark):
@@ -196,7 +225,7 @@ def test_marginals_against_all_labellings():
     rng = np.random.default_rng(5)
     unary, trans = rng.normal(size=(7, 6)), rng.normal(size=(6, 6))
     starts, sizes = np.array([0, 4]), np.array([4, 3])
-    got, pair = privacy._marginals(unary, trans, privacy._by_position(starts, sizes))
+    got, pair = privacy._marginals(unary, trans, privacy.by_position(starts, sizes))
     want, pairs = np.zeros((7, 6)), np.zeros((6, 6))
     for a, n in zip(starts, sizes):
         every = list(itertools.product(range(6), repeat=int(n)))
