@@ -3,11 +3,12 @@
 Every value becomes an array of all its valid readings (format, instant, prior).  A Viterbi pass over each source's
 record order picks one reading per value: changing the format or stepping back in time costs ``SWITCH_COST`` /
 ``BACK_COST``, a reading against a stated convention (day/month order of the locale, earlier instant of a repeated
-wall time, unit of bare digits) costs ``RULE_COST``, which outweighs any run of neighbours, so that the order only
-decides where the conventions leave a choice.
+wall time, unit of bare digits) costs ``RULE_COST``, which outweighs any run of neighbours, so that the order
+decides where the conventions leave a choice: dates with slashes of a country that has no row among the locales may
+be day or month first at the same cost.
 
-A source may hold any share of all rows.  Its record order is therefore cut into blocks at quantiles of the record
-id.  Each block is reduced to its min-plus transfer matrix between first and last reading, the matrices are chained
+A source may hold any share of all rows.  Its record order is therefore cut into blocks, ranges of the record id of
+about ``BLOCK_ROWS`` rows at every size.  Each block is reduced to its min-plus transfer matrix between first and last reading, the matrices are chained
 (one small row per block), and every block is then solved between its fixed ends.  The result equals one Viterbi
 pass over the whole source.
 
@@ -28,7 +29,7 @@ from opinara.runtime import written
 
 SWITCH_COST, BACK_COST, RULE_COST = 1.0, 1.0, 1000.0
 READINGS = 4
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 50_000  # values of all fields and sources in a block
 
 _ZONE = r"(Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?(?:\[[\w/+\-]+\])?|\[[\w/+\-]+\]|[A-Za-z_]+(?:/[\w+\-]+)+|[A-Za-z]{1,5})?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
@@ -74,7 +75,8 @@ def _bounded_rows(df: DataFrame, most: int) -> list:
 def readings(values: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Add ``readings array<struct<fmt,micros,prior>>`` to rows of (value, local_zone, month_first).
 
-    ``local_zone`` is the zone of a text without its own, ``month_first`` the order of dates with slashes.
+    ``local_zone`` is the zone of a text without its own, ``month_first`` the order of dates with slashes, null if no
+    convention states it.
     """
     offsets = {r["abbreviation"].upper(): int(r["utc_offset_minutes"]) for r in _bounded_rows(abbreviations, 1000) if r["abbreviation"] and r["utc_offset_minutes"] is not None}
     offset_map = F.create_map(*[F.lit(x) for kv in (offsets or {"UTC": 0}).items() for x in kv])
@@ -113,8 +115,8 @@ def readings(values: DataFrame, abbreviations: DataFrame) -> DataFrame:
     micros = lambda ntz: f"timestampdiff(MICROSECOND, {_EPOCH}, {ntz})"
     found = []
     for wall, name, rule in (
-        ("_wall_a", "_fmt", f"if(_fmt = 'slash' and month_first, {RULE_COST}, 0D)"),
-        ("_wall_b", "concat(_fmt, '_month_first')", f"if(_fmt = 'slash' and month_first, 0D, {RULE_COST})"),
+        ("_wall_a", "_fmt", f"if(_fmt = 'slash' and coalesce(month_first, false), {RULE_COST}, 0D)"),
+        ("_wall_b", "concat(_fmt, '_month_first')", f"if(_fmt = 'slash' and coalesce(month_first, true), 0D, {RULE_COST})"),
     ):
         early = f"convert_timezone(_zone, 'UTC', {wall})"
         late = f"{early} + interval 1 hour"
@@ -235,27 +237,24 @@ def normalise_timestamps(rows: DataFrame, locales: DataFrame, abbreviations: Dat
     places = locales.select(folded_name(F.col("source_name")).alias("source_key"), folded_name(F.col("country_code")).alias("country_key"), F.col("zone_name"), (F.lower("date_order") == "mdy").alias("mdy")).dropDuplicates(["source_key", "country_key"])
     base = rows.select(F.col(id_col).alias("record_id"), folded_name(F.col("source")).alias("source_key"), folded_name(F.col("country")).alias("country_key"), *fields)
     melted = base.join(places, ["source_key", "country_key"], "left").select(
-        "record_id", F.coalesce("source_key", F.lit("")).alias("source_key"), "zone_name", "mdy",
+        "record_id", F.coalesce("source_key", F.lit("")).alias("source_key"), "zone_name", F.when(F.col("country_key").isNull(), False).otherwise(F.col("mdy")).alias("mdy"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x"),
     ).select("record_id", "source_key", "zone_name", "mdy", "x.field_name", "x.value").where(F.length(F.trim("value")) > 0)
     local = F.col("field_name").isin(*local_fields)
-    values = melted.select("record_id", "source_key", "field_name", "value", F.when(local, F.coalesce("zone_name", F.lit("UTC"))).otherwise(F.lit("UTC")).alias("local_zone"), F.coalesce("mdy", F.lit(False)).alias("month_first"))
+    values = melted.select("record_id", "source_key", "field_name", "value", F.when(local, F.coalesce("zone_name", F.lit("UTC"))).otherwise(F.lit("UTC")).alias("local_zone"), F.col("mdy").alias("month_first"))
     read = readings(values, abbreviations).where(F.size("readings") > 0)
 
     names = sorted({n + tail for n in NOTATIONS for tail in ("", "_month_first")} | {"seconds", "millis", "micros"})
     code = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     flat = computed(read.withColumnRenamed("readings", "_r"), readings=F.expr("array_sort(_r, (a, b) -> " + _ORDER + ")"))
-    # blocks: quantiles of the record id, so that no block holds more than about block_rows rows of a source
-    bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(id_col, [i / 256 for i in range(1, 256)], 2560).alias("q")).first()
-    wanted = min(256, max(1, -(-bounds["n"] // block_rows)))
-    cuts = sorted({bounds["q"][i * 256 // wanted - 1] for i in range(1, wanted)}) if bounds["q"] else []
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("record_id"))) if cuts else F.lit(0)
     one = lambda k: F.get("readings", F.lit(k))
     flat = flat.select(
-        "record_id", "source_key", "field_name", "value", block.alias("block"),
+        "record_id", "source_key", "field_name", "value",
         *[c for k in range(READINGS) for c in (code[one(k)["fmt"]].alias(f"f{k}"), one(k)["micros"].alias(f"m{k}"), one(k)["prior"].alias(f"p{k}"))],
     )
-    flat = written(flat, "readings")
+    # blocks: ranges of the record id; the written table fixes them
+    n_blocks = max(1, -(-len(fields) * rows.count() // block_rows))
+    flat = written(flat.repartitionByRange(n_blocks, "record_id").withColumn("block", F.spark_partition_id()), "readings")
     keys = ["field_name", "source_key", "block"]
     kind = dict(flat.dtypes)
     summary = flat.groupBy(*keys).applyInPandas(lambda pdf: _summary(pdf), f"field_name string, source_key string, block int, cost array<double>, first_fmt array<bigint>, first_at array<bigint>, last_fmt array<bigint>, last_at array<bigint>")

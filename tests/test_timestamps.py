@@ -64,3 +64,15 @@ def test_order_decides_without_rule():
     prior = np.array([[0, np.inf, np.inf, np.inf], [0, 0, np.inf, np.inf], [0, np.inf, np.inf, np.inf]])
     cost = ts._transfer(fmt, when, prior)
     assert cost[0, 0] == 1.0  # stepping back once is cheaper than changing the format twice
+
+
+def test_only_the_order_settles_dates_without_locale(spark):
+    """Slash dates of a country without a locale row: their neighbours decide, also across blocks."""
+    month_first = ["03/25/2026 10:00", "05/04/2026 10:00", "05/20/2026 10:00"]
+    day_first = ["25/03/2026 10:00", "04/05/2026 10:00", "20/05/2026 10:00"]
+    rows = [(i, s, "zz", v, None, None) for s, first, values in (("a", 0, month_first), ("b", 100, day_first)) for i, v in enumerate(values, first)]
+    rows += [(51, "a", None, "05/04/2026 10:00", None, None)]
+    for size in (100_000, 1):
+        got = run(spark, rows, block_rows=size)
+        assert got[1, "published_at"] == got[101, "published_at"] == at(2026, 5, 4, 10)
+        assert got[51, "published_at"] == at(2026, 4, 5, 10)
