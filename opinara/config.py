@@ -6,24 +6,47 @@ Everything here is a plain value that a caller may replace by an argument of the
 from __future__ import annotations
 
 # Word lists.
-LENGTH_STOP_WORDS = "the a an and or but is are was were to for of in on at by this that it with as i you he she they we my your".split()
-TERM_STOP_WORDS = "the and a of to is in it i you that this on for with as at by an be my have but not they was are".split()
-ROUTING_STOP_WORDS = "what how why who where when does user users feature features experience".split()
-TERM_PRIORITY_WORDS = "shuffle recommendation recommendations recommend playlist playlists discover weekly radar mix dj ads premium song songs music".split()
+LENGTH_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "to", "for", "of", "in", "on", "at", "by", "this", "that", "it", "with", "as",
+    "i", "you", "he", "she", "they", "we", "my", "your",
+]
+TERM_STOP_WORDS = [
+    "the", "and", "a", "of", "to", "is", "in", "it", "i", "you", "that", "this", "on", "for", "with", "as", "at", "by", "an", "be", "my", "have",
+    "but", "not", "they", "was", "are",
+]
+ROUTING_STOP_WORDS = [
+    "what", "how", "why", "who", "where", "when", "does", "user", "users", "feature", "features", "experience",
+]
+TERM_PRIORITY_WORDS = [
+    "shuffle", "recommendation", "recommendations", "recommend", "playlist", "playlists", "discover", "weekly", "radar", "mix", "dj", "ads",
+    "premium", "song", "songs", "music",
+]
 PRIORITY_KEYWORDS = ["discover weekly", "discover", "release radar", "smart shuffle", "daily mix", "recommendations", "recommend", "home feed", "ai dj", "algorithmic", "shuffle"]
-DISCOVERY_KEYWORDS = "discover recommend shuffle playlist algorithm repeat find search weekly radar mix autoplay repetition loop dj".split()
-BUG_KEYWORDS = "crash freeze bug error slow lag stop offline".split()
-ALLOWED_LANGUAGES = "en hi bn gu kn ml mr pa ta te ur".split()
-CONFUSABLE_LANGUAGES = "so tl af et ro cy sl no".split()
-HINGLISH_AUDIT_WORDS = (
-    "hai h bhai achha acha bohot bahut ke ki ko se ka yaar aap tum ho na hi bhi toh tha rha raha rhi gaya ab kar kr kya karna karke likha sath saath aur "
-    "ya lekin par pe hota hote baje gaye diya liya kuch"
-).split()
-HINGLISH_WORDS = HINGLISH_AUDIT_WORDS + (
-    "nahin nahi nahe aa rahe krta karta karti karte lagta lagti lagte badhiya badiya mast bekar bakwas worse ads song songs chal chala chalata chalati "
-    "chalate hata do de di sahi saza kam jyada zyada bhaut he hu hoon thi the kro karo kyu kyon apna apni apne mera meri mere mujhe mujhse humein hum sab "
-    "log bro sir please pls plz bhia hiii heee"
-).split()
+DISCOVERY_KEYWORDS = [
+    "discover", "recommend", "shuffle", "playlist", "algorithm", "repeat", "find", "search", "weekly", "radar", "mix", "autoplay", "repetition",
+    "loop", "dj",
+]
+BUG_KEYWORDS = [
+    "crash", "freeze", "bug", "error", "slow", "lag", "stop", "offline",
+]
+ALLOWED_LANGUAGES = [
+    "en", "hi", "bn", "gu", "kn", "ml", "mr", "pa", "ta", "te", "ur",
+]
+CONFUSABLE_LANGUAGES = [
+    "so", "tl", "af", "et", "ro", "cy", "sl", "no",
+]
+HINGLISH_AUDIT_WORDS = [
+    "hai", "h", "bhai", "achha", "acha", "bohot", "bahut", "ke", "ki", "ko", "se", "ka", "yaar", "aap", "tum", "ho", "na", "hi", "bhi", "toh", "tha",
+    "rha", "raha", "rhi", "gaya", "ab", "kar", "kr", "kya", "karna", "karke", "likha", "sath", "saath", "aur", "ya", "lekin", "par", "pe", "hota",
+    "hote", "baje", "gaye", "diya", "liya", "kuch",
+]
+HINGLISH_WORDS = [
+    *HINGLISH_AUDIT_WORDS,
+    "nahin", "nahi", "nahe", "aa", "rahe", "krta", "karta", "karti", "karte", "lagta", "lagti", "lagte", "badhiya", "badiya", "mast", "bekar",
+    "bakwas", "worse", "ads", "song", "songs", "chal", "chala", "chalata", "chalati", "chalate", "hata", "do", "de", "di", "sahi", "saza", "kam",
+    "jyada", "zyada", "bhaut", "he", "hu", "hoon", "thi", "the", "kro", "karo", "kyu", "kyon", "apna", "apni", "apne", "mera", "meri", "mere",
+    "mujhe", "mujhse", "humein", "hum", "sab", "log", "bro", "sir", "please", "pls", "plz", "bhia", "hiii", "heee",
+]
 DEVICE_RULES = (
     ("car", ["car", "android auto", "driving", "dash", "carplay", "vehicle", "infotainment"]),
     ("tv", ["tv", "smart tv", "android tv", "firestick", "television", "chromecast"]),
@@ -32,33 +55,38 @@ DEVICE_RULES = (
     ("wearable", ["watch", "wearos", "wear os", "galaxy watch", "pixel watch"]),
 )
 QUESTION_RULES = {
-    "RQ1": "discover find search stale slow freeze crash".split(),
-    "RQ2": "repeat repetition loop same shuffle shuffled".split(),
-    "RQ3": "algorithm recommend recommendation bias push".split(),
-    "RQ4": "playlist search weekly dj autoplay".split(),
-    "RQ5": "weekly radar shuffle dj daily".split(),
-    "RQ6": "car driving home sonos casting gym workout offline".split(),
-    "RQ7": "premium free ad ads subscription pay".split(),
+    "RQ1": ["discover", "find", "search", "stale", "slow", "freeze", "crash"],
+    "RQ2": ["repeat", "repetition", "loop", "same", "shuffle", "shuffled"],
+    "RQ3": ["algorithm", "recommend", "recommendation", "bias", "push"],
+    "RQ4": ["playlist", "search", "weekly", "dj", "autoplay"],
+    "RQ5": ["weekly", "radar", "shuffle", "dj", "daily"],
+    "RQ6": ["car", "driving", "home", "sonos", "casting", "gym", "workout", "offline"],
+    "RQ7": ["premium", "free", "ad", "ads", "subscription", "pay"],
 }
-# Regions (listed first) and cities of a gazetteer, by the name they stand for.
+# Keys of a gazetteer with the name they stand for; regions and cities.
 REGIONS = {
-    name.lower(): name
-    for name in (
-        "Andhra Pradesh,Arunachal Pradesh,Assam,Bihar,Chhattisgarh,Goa,Gujarat,Haryana,Himachal Pradesh,Jharkhand,Karnataka,Kerala,Madhya Pradesh,Maharashtra,"
-        "Manipur,Meghalaya,Mizoram,Nagaland,Odisha,Punjab,Rajasthan,Sikkim,Tamil Nadu,Telangana,Tripura,Uttar Pradesh,Uttarakhand,West Bengal,Ladakh,Puducherry,Chandigarh"
-    ).split(",")
-} | {"jammu": "Jammu & Kashmir", "kashmir": "Jammu & Kashmir", "pondicherry": "Puducherry"}
-CITY_NAMES = {
-    "Delhi NCR": "delhi,new delhi,ncr,noida,greater noida,ghaziabad,gurugram,gurgaon,faridabad",
-    "Mumbai": "mumbai,bombay,thane,navi mumbai", "Pune": "pune", "Maharashtra": "nagpur", "Bengaluru": "bengaluru,bangalore",
-    "Karnataka": "mysore,hubli,mangalore", "Chennai": "chennai,madras", "Tamil Nadu": "coimbatore,madurai", "Hyderabad": "hyderabad,secunderabad",
-    "Telangana": "warangal", "Kolkata": "kolkata,calcutta", "West Bengal": "darjeeling", "Gujarat": "ahmedabad,surat,vadodara,baroda,rajkot",
-    "Rajasthan": "jaipur,jodhpur,udaipur", "Uttar Pradesh": "lucknow,kanpur", "Bihar": "patna", "Jharkhand": "ranchi,jamshedpur",
-    "Madhya Pradesh": "bhopal,indore,gwalior,jabalpur", "Chhattisgarh": "raipur", "Odisha": "bhubaneswar,cuttack", "Assam": "guwahati",
-    "Punjab": "amritsar,ludhiana,jalandhar", "Kerala": "kochi,cochin,trivandrum,thiruvananthapuram",
-    "Andhra Pradesh": "visakhapatnam,vizag,vijayawada,guntur", "Uttarakhand": "dehradun", "Himachal Pradesh": "shimla", "Jammu & Kashmir": "srinagar",
-}
-CITIES = {key: name for name, keys in CITY_NAMES.items() for key in keys.split(",")}
+    "andhra pradesh": "Andhra Pradesh", "arunachal pradesh": "Arunachal Pradesh", "assam": "Assam", "bihar": "Bihar", "chhattisgarh": "Chhattisgarh",
+    "goa": "Goa", "gujarat": "Gujarat", "haryana": "Haryana", "himachal pradesh": "Himachal Pradesh", "jharkhand": "Jharkhand",
+    "karnataka": "Karnataka", "kerala": "Kerala", "madhya pradesh": "Madhya Pradesh", "maharashtra": "Maharashtra", "manipur": "Manipur",
+    "meghalaya": "Meghalaya", "mizoram": "Mizoram", "nagaland": "Nagaland", "odisha": "Odisha", "punjab": "Punjab", "rajasthan": "Rajasthan",
+    "sikkim": "Sikkim", "tamil nadu": "Tamil Nadu", "telangana": "Telangana", "tripura": "Tripura", "uttar pradesh": "Uttar Pradesh",
+    "uttarakhand": "Uttarakhand", "west bengal": "West Bengal", "ladakh": "Ladakh", "puducherry": "Puducherry", "chandigarh": "Chandigarh",
+    "jammu": "Jammu & Kashmir", "kashmir": "Jammu & Kashmir", "pondicherry": "Puducherry",
+}
+CITIES = {
+    "delhi": "Delhi NCR", "new delhi": "Delhi NCR", "ncr": "Delhi NCR", "noida": "Delhi NCR", "greater noida": "Delhi NCR", "ghaziabad": "Delhi NCR",
+    "gurugram": "Delhi NCR", "gurgaon": "Delhi NCR", "faridabad": "Delhi NCR", "mumbai": "Mumbai", "bombay": "Mumbai", "thane": "Mumbai",
+    "navi mumbai": "Mumbai", "pune": "Pune", "nagpur": "Maharashtra", "bengaluru": "Bengaluru", "bangalore": "Bengaluru", "mysore": "Karnataka",
+    "hubli": "Karnataka", "mangalore": "Karnataka", "chennai": "Chennai", "madras": "Chennai", "coimbatore": "Tamil Nadu", "madurai": "Tamil Nadu",
+    "hyderabad": "Hyderabad", "secunderabad": "Hyderabad", "warangal": "Telangana", "kolkata": "Kolkata", "calcutta": "Kolkata",
+    "darjeeling": "West Bengal", "ahmedabad": "Gujarat", "surat": "Gujarat", "vadodara": "Gujarat", "baroda": "Gujarat", "rajkot": "Gujarat",
+    "jaipur": "Rajasthan", "jodhpur": "Rajasthan", "udaipur": "Rajasthan", "lucknow": "Uttar Pradesh", "kanpur": "Uttar Pradesh", "patna": "Bihar",
+    "ranchi": "Jharkhand", "jamshedpur": "Jharkhand", "bhopal": "Madhya Pradesh", "indore": "Madhya Pradesh", "gwalior": "Madhya Pradesh",
+    "jabalpur": "Madhya Pradesh", "raipur": "Chhattisgarh", "bhubaneswar": "Odisha", "cuttack": "Odisha", "guwahati": "Assam", "amritsar": "Punjab",
+    "ludhiana": "Punjab", "jalandhar": "Punjab", "kochi": "Kerala", "cochin": "Kerala", "trivandrum": "Kerala", "thiruvananthapuram": "Kerala",
+    "visakhapatnam": "Andhra Pradesh", "vizag": "Andhra Pradesh", "vijayawada": "Andhra Pradesh", "guntur": "Andhra Pradesh",
+    "dehradun": "Uttarakhand", "shimla": "Himachal Pradesh", "srinagar": "Jammu & Kashmir",
+}
 # Anchor phrases that tags are projected on.
 ANCHORS = {
     "goal_play_music": "play music listen to songs streaming audio",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara import config
 
+# The patterns of the cleaning steps.
 # letters, digits and blanks of all scripts, where the classes of Java would be plain ASCII
 _LETTER, _DIGIT, _BLANK = r"\p{L}\p{N}_", r"\p{Nd}", r"\s\x1C-\x1F\x85\p{Z}"
 EMAIL = rf"[{_LETTER}.\-]+@[{_LETTER}.\-]+\.[{_LETTER}]+"
@@ -80,22 +81,32 @@ def language_audit(lang: Column, text: Column) -> Column:
     return F.when(or_empty(text) != "", audited)
 
 
-def _bounded(key: str) -> str:
-    return rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(key)}([^\p{{L}}\p{{N}}_]|$)"
+def _gazetteer() -> tuple[str, list[tuple[str, str]]]:
+    """One pattern of all keys, longer ones first, and the keys in order of rank: cities before regions, longer first."""
+    longest = lambda d: sorted(d.items(), key=lambda kv: -len(kv[0]))
+    ranked = longest(config.CITIES) + longest(config.REGIONS)
+    keys = "|".join(re.escape(k) for k in sorted((k for k, _ in ranked), key=len, reverse=True))
+    return rf"(?<![\p{{L}}\p{{N}}_])({keys})(?![\p{{L}}\p{{N}}_])", ranked
+
+
+def _places(c: Column) -> Column:
+    """Ranks of the gazetteer keys in a text.  A key inside a longer one (a city with a prefix) is found as the longer
+    one, which stands for the same name and ranks higher."""
+    pattern, ranked = _gazetteer()
+    rank = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(ranked) for x in (k, i)])
+    return F.transform(F.regexp_extract_all(F.lower(or_empty(c)), F.lit(pattern), 1), lambda k: rank[k])
 
 
 def location_one(c: Column) -> Column:
     """The first gazetteer hit: cities before regions, longer keys first; null if none."""
-    low = F.lower(or_empty(c))
-    ranked = sorted(config.CITIES.items(), key=lambda kv: -len(kv[0])) + sorted(config.REGIONS.items(), key=lambda kv: -len(kv[0]))
-    return F.coalesce(*[F.when(low.contains(k) & low.rlike(_bounded(k)), F.lit(v)) for k, v in ranked])
+    names = F.array(*[F.lit(v) for _, v in _gazetteer()[1]])
+    return F.get(names, F.array_min(_places(c)))
 
 
 def location_all(c: Column) -> Column:
     """The distinct names of all gazetteer hits, sorted."""
-    low = F.lower(or_empty(c))
-    hits = [F.when(low.contains(k) & low.rlike(_bounded(k)), F.lit(v)) for k, v in (config.REGIONS | config.CITIES).items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+    names = F.array(*[F.lit(v) for _, v in _gazetteer()[1]])
+    return F.array_sort(F.array_distinct(F.transform(_places(c), lambda i: F.get(names, i))))
 
 
 def shingles(c: Column, k: int = config.SHINGLE) -> Column:

@@ -39,10 +39,16 @@ def end_of_day(c: Column) -> Column:
 
 
 def within_horizon(at: Column, now: Column, days: int = config.HORIZON_DAYS) -> Column:
-    """Whole days of age at most ``days``; unreadable times are kept."""
+    """Whole days of age at most ``days``; unreadable times are kept.  Times without zone are no instants: the caller
+    keeps them (:func:`has_zone`)."""
     return F.coalesce(F.floor((now.cast("double") - at.cast("double")) / 86400) <= days, F.lit(True))
 
 
+def has_zone(text: Column) -> Column:
+    """Whether a text date names a zone or offset after its time."""
+    return F.coalesce(text.rlike(r"\d{2}:\d{2}.*(?:[Zz]|[+-]\d{2}:?\d{2}(?::?\d{2})?)\s*$"), F.lit(False))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from opinara import config
 from opinara.functions import text as tx
 from opinara.functions import values as vl
+from opinara.operators.dedup import near_duplicates
+from opinara.operators.summary import summarised
+from opinara.runtime import written
 
 
 @dataclass
@@ -98,9 +101,11 @@ def preprocess(df: DataFrame, now: Column, *, lang: str = "detected_language", t
     """The record chain up to de-duplication: blank, horizon, markup, language, translation, details, location, length.
 
     ``translate`` maps (text column, language column) to a text column; without it texts stay as they are.
-    ``translated_text`` is set only for languages other than English.
+    ``translated_text`` is set only for languages other than English.  The horizon holds for times with a zone; times
+    without one and unreadable ones are kept.
     """
-    df = df.where(F.length(F.trim("raw_text")) > 0).where(vl.within_horizon(F.try_to_timestamp(F.col("published_at")), now))
+    fresh = ~vl.has_zone(F.col("published_at")) | vl.within_horizon(F.try_to_timestamp(F.col("published_at")), now)
+    df = df.where(F.length(F.trim("raw_text")) > 0).where(fresh)
     df = df.withColumn("_clean", tx.strip_markup(F.col("raw_text")))
     df = df.withColumn("_label", tx.language_policy(F.lower(F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("en"))), F.col("_clean"))).where("_label is not null")
     moved = translate(F.col("_clean"), F.col("_label")) if translate else F.col("_clean")
@@ -111,3 +116,12 @@ def preprocess(df: DataFrame, now: Column, *, lang: str = "detected_language", t
         "translated_text": F.when(F.col("_label") != "en", F.col("cleaned_text")),
         "detected_language": F.col("_label"),
     }).drop("_clean", "_label")
+
+
+def process_reviews(df: DataFrame, now: Column, key: str, order: str, **options) -> DataFrame:  # noqa: ANN003
+    """The whole record chain: :func:`preprocess`, then near-duplicate removal in ``order`` (first come, first kept) and
+    the summary of long texts.  ``key`` is unique; texts too short for shingles are never duplicates."""
+    rows = written(preprocess(df, now, **options), "processed-reviews")
+    lost = near_duplicates(rows, key, "cleaned_text", order).where("not kept").select(key)
+    rows = rows.join(lost, key, "left_anti").withColumn("cleaned_text", summarised(F.col("cleaned_text")))
+    return rows.withColumn("translated_text", F.when(F.col("translated_text").isNotNull(), F.col("cleaned_text")))

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import config
 
-SMALL_SIDE = 64 * 1024 * 1024  # bytes of vectors that may go to every worker
+SMALL_SIDE = 64 * 1024 * 1024  # bytes of vectors that go to every worker at once
 
 
-def _small(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
-    """Keys and unit vectors of a side whose size is checked before it is gathered."""
+def _blocks(df: DataFrame, key: str, vector: str) -> list[DataFrame]:
+    """A side cut by the hash of its key into parts of at most about ``SMALL_SIDE`` bytes."""
     n, width = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
-    if n * width * 4 > SMALL_SIDE:
-        raise ValueError(f"{n} vectors of {width} values are too many for the small side of this join; cut it into parts")
+    many = -(-2 * n * width * 8 // SMALL_SIDE) if n * width * 8 > SMALL_SIDE else 1
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(many)) == i) for i in range(many)] if many > 1 else [df]
+
+
+def _gathered(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
+    """Keys and unit vectors of a part whose size is bounded."""
     rows = df.select(key, vector).orderBy(key).collect()
     if not rows:
         return [], np.zeros((0, 0), np.float32)
@@ -28,9 +32,22 @@ def _small(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
 def against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key: str, small_vector: str, *, top: int | None = None, least: float | None = None) -> DataFrame:
     """(key, other, cosine) of every row of ``big`` with the rows of ``small``: the ``top`` best, or all of at least ``least``.
 
-    ``small`` is measured first and refused beyond ``SMALL_SIDE``; ``big`` is streamed and never shuffled.
+    ``small`` goes to the workers in parts of bounded size, however large it is; ``big`` is streamed once a part and
+    never shuffled.  With several parts the best of each are merged to the ``top`` best of all.  Ties go to the
+    smaller key of ``small``; a zero vector has cosine 0 with everything.
     """
-    keys, x = _small(small, small_key, small_vector)
+    parts = [_against(big, part, key, vector, small_key, small_vector, top, least) for part in _blocks(small, small_key, small_vector)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if top is not None and len(parts) > 1:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cosine"), "other"))
+        out = out.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
+    return out
+
+
+def _against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key: str, small_vector: str, top: int | None, least: float | None) -> DataFrame:
+    keys, x = _gathered(small, small_key, small_vector)
     types = dict(big.dtypes)[key], dict(small.dtypes)[small_key]
     shared = big.sparkSession.sparkContext.broadcast((keys, x))
 
@@ -85,7 +102,5 @@ def plane(centroids: DataFrame, key: str, vector: str) -> DataFrame:
 
 def spiral(df: DataFrame, order: list) -> DataFrame:  # noqa: ANN001
     """Coordinates on a spiral from the rank of every row."""
-    from pyspark.sql import Window
-
     i = (F.row_number().over(Window.orderBy(*order)) - 1).cast("double")
     return df.withColumn("x", F.cos(i * 0.5) * (1 + i * 0.1)).withColumn("y", F.sin(i * 0.5) * (1 + i * 0.1))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from opinara.plans import review_queries, timestamp_queries
+from opinara.plans import dashboard_queries, review_queries, timestamp_queries
 
 FLAGSHIP = "pkg_filtered"
-MODULES = [timestamp_queries, review_queries]
+MODULES = [timestamp_queries, review_queries, dashboard_queries]
 
 
 def queries() -> dict:

@@ -14,8 +14,8 @@ from opinara.functions import text as tx
 from opinara.functions import values as vl
 from opinara.operators import metrics, records, routing, search
 from opinara.operators.dedup import near_duplicates, shingled, signature
-from opinara.operators.evidence import packages, source_synergy
-from opinara.operators.filters import ReviewFilter, discovery, in_range, mismatch, preprocess, target_run
+from opinara.operators.evidence import filtered_packages, packages, source_synergy
+from opinara.operators.filters import ReviewFilter, discovery, mismatch, process_reviews, target_run
 from opinara.operators.leader import leader_follower
 from opinara.operators.summary import summarised
 from opinara.operators.themes import term_weights
@@ -33,7 +33,14 @@ WORD = r"[\p{L}\p{N}_]+"
 S_CURRENT = "(SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY landing_id DESC) = 1)"
 S_BEST = "coalesce(nullif(translated_text, ''), raw_text)"
 S_USABLE = "(SELECT id, min(vector) AS vector FROM review_embeddings WHERE len(vector) = 384 AND list_bool_and(list_transform(vector, lambda x: isfinite(x))) AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY id)"
-S_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[\\w.\\-]+@[\\w.\\-]+\\.\\w+', '', 'g'), '\\+?\\d{{1,4}}[\\-.\\s]?\\(?\\d{{1,3}}\\)?[\\-.\\s]?\\d{{1,4}}[\\-.\\s]?\\d{{1,4}}[\\-.\\s]?\\d{{1,9}}', '', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), '@[a-zA-Z0-9_]+|u/[a-zA-Z0-9_\\-]+', '', 'g'), '[\\x{{10000}}-\\x{{10FFFF}}]+', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def strip_sql(c: str) -> str:
+    """The cleaning steps in SQL, with the same patterns."""
+    for pattern in (tx.EMAIL, tx.PHONE, tx.URL, tx.HANDLE, tx.ASTRAL):
+        c = f"regexp_replace({c}, '{pattern}', '', 'g')"
+    return f"trim(regexp_replace({c}, '{tx.BLANKS}', ' ', 'g'))"
+
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -89,10 +96,16 @@ def scan_existing_ids(s, d):
     return reviews(s, d, "id").distinct().agg(F.count("id").alias("n"))
 
 
-@query(f"SELECT source, count(*) AS n FROM {S_CURRENT} WHERE source IN ('google_play', 'app_store') GROUP BY 1")
+S_STAGED = "(SELECT id FROM reviews WHERE analysed = 1)"
+
+
+@query(f"SELECT source, count(*) AS n, count(*) FILTER (NOT staged) AS n_copied FROM (SELECT source, id IN {S_STAGED} AS staged FROM {S_CURRENT} WHERE id IS NOT NULL) WHERE staged OR source IN ('google_play', 'app_store') GROUP BY 1")
 def replica_copy(s, d):
+    """The analysed rows are staged already; of the rest the storefront rows are copied."""
     rows = current(s, d, "id", "source")
-    return records.replica(rows, rows.limit(0)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    staged = rows.join(reviews(s, d, "id", "analysed").where("analysed = 1").select("id"), "id", "left_semi").withColumn("staged", F.lit(True))
+    out = records.replica(rows.withColumn("staged", F.lit(False)), staged)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("staged")).cast("bigint")).alias("n_copied"))
 
 
 @query(f"SELECT landing_id FROM reviews WHERE source IN ('google_play', 'app_store') AND {_any('lower(raw_text)', ['playlist', 'podcast'])} OR source IN ('google_play', 'app_store') AND {_any('''lower(coalesce(translated_text, ''))''', ['playlist', 'podcast'])}")
@@ -101,21 +114,24 @@ def theme_bridge(s, d):
     return reviews(s, d).where(F.col("source").isin("google_play", "app_store") & (tx.contains_any(F.col("raw_text"), words) | tx.contains_any(F.col("translated_text"), words))).select("landing_id")
 
 
-@query("""WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY landing_id) AS r FROM reviews) WHERE r = 1),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY landing_id DESC) AS r FROM reviews) WHERE r = 1)
-SELECT o.id, n.rating, o.source, o.country, 0 AS analysed, n.last_run_id, o.created_at FROM o JOIN n ON o.id = n.id""")
+@query("""WITH o AS (SELECT * FROM reviews WHERE analysed = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY landing_id) = 1),
+n AS (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY landing_id DESC) = 1)
+SELECT n.id, n.rating, CASE WHEN o.id IS NULL THEN n.source ELSE o.source END AS source, CASE WHEN o.id IS NULL THEN n.country ELSE o.country END AS country, 0 AS analysed, n.last_run_id,
+CASE WHEN o.id IS NULL THEN n.created_at ELSE o.created_at END AS created_at FROM n LEFT JOIN o ON o.id = n.id WHERE n.id IS NOT NULL""")
 def sink_upsert(s, d):
+    """The newest row of every id merged into the table of analysed ids: known ids change, others are inserted."""
     cols = ["id", "rating", "source", "country", "analysed", "last_run_id", "created_at"]
     rows = reviews(s, d, "landing_id", *cols)
-    old, new = records.latest(rows, "id", [F.asc("landing_id")]), records.latest(rows, "id", [F.desc("landing_id")])
+    old, new = records.latest(rows.where("analysed = 1"), "id", [F.asc("landing_id")]), records.latest(rows, "id", [F.desc("landing_id")])
     return records.upsert(old.select(cols), new.select(cols), "id", keep=("created_at", "source", "country"), reset={"analysed": 0})
 
 
-@query("SELECT count(*) AS n, sum(landing_id) AS checksum FROM (SELECT min(landing_id) AS landing_id FROM reviews GROUP BY id)")
+@query("SELECT count(*) AS n, sum(landing_id)::BIGINT AS checksum FROM (SELECT coalesce(min(landing_id) FILTER (analysed = 1), min(landing_id)) AS landing_id FROM reviews WHERE id IS NOT NULL GROUP BY id)")
 def sink_insert_ignore(s, d):
-    rows = reviews(s, d, "id", "landing_id")
-    old = records.first_occurrence(rows, "id", "landing_id")
-    return records.insert_ignore(old, rows, "id").agg(F.count(F.lit(1)).alias("n"), F.sum("landing_id").alias("checksum"))
+    """All rows, first come first, inserted into the table of analysed ids."""
+    rows = reviews(s, d, "id", "landing_id", "analysed")
+    old = records.first_occurrence(rows.where("analysed = 1"), "id", "landing_id")
+    return records.insert_ignore(old, records.first_occurrence(rows, "id", "landing_id"), "id").agg(F.count(F.lit(1)).alias("n"), F.sum("landing_id").alias("checksum"))
 
 
 @query(f"SELECT CASE WHEN e.id IS NOT NULL THEN 1 ELSE r.analysed END AS analysed, count(*) AS n FROM reviews r LEFT JOIN (SELECT DISTINCT id FROM {S_USABLE}) e ON r.id = e.id GROUP BY 1")
@@ -144,13 +160,17 @@ def flt_discovery(s, d):
     return reviews(s, d, "cluster_id").where("cluster_id is not null").groupBy((~discovery()).alias("surface")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT sum(CASE WHEN coalesce(try_cast(substr(published_at, 1, 10) AS DATE) BETWEEN DATE '2026-03-01' AND DATE '2026-05-31', true) THEN 1 ELSE 0 END)::BIGINT AS in_range, sum(CASE WHEN coalesce(try_cast(substr(published_at, 1, 10) AS DATE) BETWEEN DATE '2026-03-01' AND DATE '2026-05-31', true) THEN 0 ELSE 1 END)::BIGINT AS out_of_range FROM reviews WHERE regexp_matches(substr(published_at, 1, 10), '^\\d{4}-\\d\\d-\\d\\d$')")
+S_DAY = "try_cast(CASE WHEN regexp_matches(substr(published_at, 1, 10), '^\\d{4}-\\d\\d?-\\d\\d?([ T]|$)') THEN regexp_extract(substr(published_at, 1, 10), '^[\\d-]+') END AS DATE)"
+S_WITHIN = f"coalesce({S_DAY} BETWEEN DATE '{FROM}' AND DATE '{TO}', true)"
+
+
+@query(f"SELECT count(*) FILTER ({S_WITHIN}) AS in_range, count(*) FILTER (NOT {S_WITHIN}) AS out_of_range, count(*) FILTER ({S_WITHIN}) < 1000000000 AND count(*) FILTER (NOT {S_WITHIN}) > 0 AS needs_decision FROM reviews")
 def flt_date_window(s, d):
-    return mismatch(reviews(s, d, "published_at"), FROM, TO, 10**9).select("in_range", "out_of_range")
+    return mismatch(reviews(s, d, "published_at"), FROM, TO, 10**9)
 
 
 # ---- row-level text functions
-@query("SELECT landing_id, md5(" + S_STRIP.format(c="raw_text") + ") AS digest FROM reviews WHERE regexp_matches(raw_text, '^[ -~]*\\z')")
+@query("SELECT landing_id, md5(" + strip_sql("raw_text") + ") AS digest FROM reviews")
 def txt_strip_pii(s, d):
     return reviews(s, d, "landing_id", "raw_text").select("landing_id", F.md5(tx.strip_details(F.col("raw_text"))).alias("digest"))
 
@@ -160,7 +180,7 @@ def txt_strip_html(s, d):
     return reviews(s, d, "landing_id", "raw_text").select("landing_id", F.md5(tx.strip_markup(F.col("raw_text"))).alias("digest"))
 
 
-@query(f"SELECT landing_id, len(list_filter(regexp_extract_all(lower(raw_text), '[a-z0-9_]+'), lambda w: w NOT IN ({_list(config.LENGTH_STOP_WORDS)}))) AS n_words FROM reviews WHERE regexp_matches(raw_text, '^[ -~\\s]*$')")
+@query(f"SELECT landing_id, len(list_filter(regexp_extract_all(lower(raw_text), '{tx.WORD}'), lambda w: w NOT IN ({_list(config.LENGTH_STOP_WORDS)}))) AS n_words FROM reviews")
 def txt_meaningful_words(s, d):
     return reviews(s, d, "landing_id", "raw_text").select("landing_id", tx.meaningful_words(F.col("raw_text")).alias("n_words"))
 
@@ -175,7 +195,10 @@ def txt_language_policy(s, d):
     return reviews(s, d, "detected_language", "raw_text").groupBy(tx.language_policy(F.col("detected_language"), F.col("raw_text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+S_PLACES = ", ".join(f"CASE WHEN contains(t, '{k}') AND regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){k}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{v}' END" for k, v in (config.REGIONS | config.CITIES).items())
+
+
+@query(f"SELECT landing_id, unnest(list_distinct(list_filter([{S_PLACES}], lambda x: x IS NOT NULL))) AS location FROM (SELECT landing_id, lower({S_BEST}) AS t FROM reviews)")
 def txt_location_all(s, d):
     return reviews(s, d, "landing_id", "raw_text", "translated_text").select("landing_id", F.explode(tx.location_all(best_text())).alias("location"))
 
@@ -214,12 +237,19 @@ def id_hashes(s, d):
     return reviews(s, d, "landing_id", "source", "raw_text", "published_at").select("landing_id", tx.sha_id(F.col("source"), F.col("raw_text"), F.col("published_at")).alias("sha"), tx.md5_id(F.lit("x"), F.col("raw_text"), F.col("published_at")).alias("short"), tx.cut(F.col("raw_text"), 120).alias("quote"))
 
 
-@query("SELECT landing_id, CASE WHEN rating IS NULL THEN NULL ELSE greatest(1, least(5, rating)) END AS rating, CASE WHEN length(published_at) > 10 THEN published_at ELSE coalesce(strftime(try_cast(CASE WHEN regexp_matches(published_at, '^\\d{4}-\\d\\d-\\d\\d$') THEN published_at END AS DATE) + INTERVAL 1 DAY, '%Y-%m-%d'), published_at) END AS end_at FROM reviews WHERE length(published_at) > 10 OR regexp_matches(published_at, '^\\d{4}-\\d\\d-\\d\\d$')")
+@query("SELECT landing_id, CASE WHEN rating IS NULL THEN NULL ELSE greatest(1, least(5, rating)) END AS rating, CASE WHEN length(published_at) > 10 THEN published_at ELSE coalesce(strftime(try_cast(CASE WHEN regexp_matches(published_at, '^\\d{4}-\\d\\d?-\\d\\d?$') THEN published_at END AS DATE) + INTERVAL 1 DAY, '%Y-%m-%d'), published_at) END AS end_at FROM reviews")
 def num_rating_and_end(s, d):
     return reviews(s, d, "landing_id", "rating", "published_at").select("landing_id", vl.clamp_rating(F.col("rating")).alias("rating"), vl.end_of_day(F.col("published_at")).alias("end_at"))
 
 
-@query()
+def _number(*keys: str) -> str:
+    return "greatest(0.0, coalesce(" + ", ".join(f"try_cast(json_extract_string(m, '$.{k}') AS DOUBLE)" for k in keys) + ", 0.0))"
+
+
+S_POST = "CASE WHEN coalesce(json_extract_string(m, '$.is_post'), 'true') = 'false' THEN 1.0 ELSE 1.5 END"
+
+
+@query(f"SELECT landing_id, round(coalesce(CASE WHEN m IS NULL THEN NULL WHEN source IN ('google_play', 'app_store') THEN 1.0 + ln(1 + {_number('thumbs_up_count', 'thumbsUpCount')}) WHEN source = 'youtube' THEN 1.0 + ln(1 + {_number('like_count', 'likeCount')}) WHEN source = 'reddit' THEN {S_POST} * (1.0 + ln(1 + {_number('upvotes', 'score')})) WHEN source = 'community_forum' THEN 1.0 + ln(1 + {_number('kudos_count', 'kudos')}) END, 1.0), 6) AS weight FROM (SELECT landing_id, source, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM reviews)")
 def num_engagement(s, d):
     return reviews(s, d, "landing_id", "source", "metadata").select("landing_id", F.round(vl.engagement(F.col("source"), F.col("metadata")), 6).alias("weight"))
 
@@ -237,9 +267,13 @@ def flag_premium(s, d):
     return reviews(s, d, "landing_id", "metadata", "raw_text", "translated_text").select("landing_id", tx.mentions_premium(F.col("metadata"), best_text()).alias("premium"))
 
 
-@query("SELECT landing_id, len(list_distinct(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)))) AS n_shingles FROM (SELECT landing_id, regexp_replace(lower(raw_text), '\\s+', '', 'g') AS f FROM reviews WHERE regexp_matches(raw_text, '^[ -~\\s]*$')) WHERE length(f) >= 3")
+S_SHINGLES = f"(SELECT landing_id, list_distinct(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) AS sh FROM (SELECT landing_id, regexp_replace(lower(raw_text), '{tx.BLANKS}', '', 'g') AS f FROM reviews) WHERE length(f) >= 3)"
+
+
+@query(f"SELECT landing_id, len(sh) AS n_shingles, md5(array_to_string(list_sort(sh), ' ')) AS digest FROM {S_SHINGLES}")
 def txt_shingles(s, d):
-    return reviews(s, d, "landing_id", "raw_text").select("landing_id", F.size(tx.shingles(F.col("raw_text"))).alias("n_shingles")).where("n_shingles > 0")
+    sh = reviews(s, d, "landing_id", "raw_text").select("landing_id", tx.shingles(F.col("raw_text")).alias("sh")).where(F.size("sh") > 0)
+    return sh.select("landing_id", F.size("sh").alias("n_shingles"), F.md5(F.array_join(F.array_sort("sh"), " ")).alias("digest"))
 
 
 @query()
@@ -251,8 +285,9 @@ def txt_textrank(s, d):
 
 @query()
 def flt_process_review(s, d):
-    """The whole record chain up to de-duplication."""
-    return preprocess(reviews(s, d), F.lit(NOW).cast("timestamp")).select("landing_id", "detected_language", "location", F.md5("cleaned_text").alias("digest"))
+    """The whole record chain, with near-duplicates removed and long texts summarised."""
+    out = process_reviews(reviews(s, d), F.lit(NOW).cast("timestamp"), "landing_id", "landing_id")
+    return out.select("landing_id", "detected_language", "location", F.md5("cleaned_text").alias("digest"))
 
 
 # ---- joins
@@ -384,7 +419,11 @@ def agg_integrity(s, d):
     return metrics.integrity(reviews(s, d, "rating", "country", "sentiment", "source"), ("rating", "country", "sentiment", "source"))
 
 
-@query()
+S_AUDIT = f"CASE WHEN detected_language IN ({_list(config.ALLOWED_LANGUAGES)}) THEN detected_language WHEN detected_language IN ({_list(config.CONFUSABLE_LANGUAGES)}) AND len(list_intersect(regexp_split_to_array(lower(t), '[ \\t\\n\\r\\f\\v]+'), [{_list(config.HINGLISH_AUDIT_WORDS)}])) > 0 THEN 'hinglish (' || detected_language || ')' END"
+S_PLAIN = "coalesce(translate(regexp_replace(raw_text, '<[^>]*>', '', 'g'), '‘’“”', chr(39) || chr(39) || chr(34) || chr(34)), '')"
+
+
+@query(f"SELECT coalesce(label, detected_language, 'unknown') AS language, label IS NOT NULL AS kept, count(*) AS n FROM (SELECT detected_language, CASE WHEN t <> '' THEN {S_AUDIT} END AS label FROM (SELECT detected_language, {S_PLAIN} AS t FROM reviews)) GROUP BY 1, 2")
 def agg_lang_audit(s, d):
     return metrics.language_audit(reviews(s, d, "detected_language", "raw_text"))
 
@@ -462,22 +501,39 @@ def name_fallback(s, d):
     return _terms(s, d).select("cluster_id", routing.fallback_name(F.col("terms")).alias("name"))
 
 
+def _tagging(s, d) -> dict:
+    """Anchors and texts embedded by the same provider."""
+    embed = HashedEmbedder(DIMENSION).embed
+    anchors = s.createDataFrame(list(config.ANCHORS.items()), "name string, phrase string").select("name", embed(F.col("phrase")).alias("vector"))
+    return {"anchors": anchors, "tag_vectors": current(s, d, "id", "cluster_id", "raw_text", "translated_text").where("cluster_id is not null").select("id", embed(best_text()).alias("vector"))}
+
+
 def evidence_packages(s, d) -> DataFrame:
-    anchors = s.createDataFrame(list(config.ANCHORS.items()), "name string, phrase string")
-    anchors = anchors.select("name", HashedEmbedder(DIMENSION).embed(F.col("phrase")).alias("vector"))
-    return packages(current(s, d), table(s, d, "review_embeddings"), table(s, d, "clusters"), anchors)
+    return packages(current(s, d), table(s, d, "review_embeddings"), table(s, d, "clusters"), **_tagging(s, d))
 
 
 @query()
 def pkg_filtered(s, d):
-    """Evidence packages of all clusters: nested documents, best opportunity first within a plain sort."""
-    return evidence_packages(s, d)
+    """Evidence packages of a date window and three sources, of the newest million reviews, best opportunity first."""
+    return filtered_packages(current(s, d), table(s, d, "review_embeddings"), table(s, d, "clusters"), start=FROM, end=TO, sources=["google_play", "app_store", "reddit"], limit=1_000_000, **_tagging(s, d))
 
 
-@query()
+S_META = "(SELECT id, mean_similarity FROM clusters QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_updated DESC NULLS LAST, centroid DESC, mean_similarity DESC NULLS LAST) = 1)"
+
+
+@query(f"""WITH r AS (SELECT * FROM {S_CURRENT} WHERE cluster_id IS NOT NULL), v AS {S_USABLE}, m AS {S_META},
+b AS (SELECT cluster_id, count(*) AS size, coalesce(avg(rating), 3.0) AS average_rating, avg(CASE WHEN contains(lower(coalesce(metadata, '')), 'premium') OR contains(lower({S_BEST}), 'premium') THEN 1 ELSE 0 END) AS premium FROM r GROUP BY 1),
+e AS (SELECT cluster_id, CASE WHEN count(*) > 1 THEN -sum(n / t * log2(n / t)) / log2(count(*)) ELSE 0 END AS entropy FROM (SELECT cluster_id, source, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY cluster_id)::DOUBLE AS t FROM r GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT r.cluster_id, count(*) AS n_placed FROM r JOIN v ON v.id = r.id GROUP BY 1)
+SELECT b.cluster_id, b.size, round(b.average_rating, 6) AS average_rating, round(e.entropy * coalesce(m.mean_similarity, 0.8), 6) AS csss,
+round(greatest(0.1, least(1.0, (5.0 - b.average_rating) / 4.0)) * (b.size / (SELECT count(*) FROM r)) * e.entropy * coalesce(m.mean_similarity, 0.8) * (1 + 0.5 * b.premium) * 100, 6) AS opportunity_score,
+least(5, coalesce(k.n_placed, 0)) AS n_medoids, CASE WHEN k.n_placed >= 3 THEN 3 ELSE 0 END AS n_outliers
+FROM b JOIN e ON e.cluster_id = b.cluster_id LEFT JOIN m ON m.id = b.cluster_id LEFT JOIN k ON k.cluster_id = b.cluster_id""")
 def pkg_flat(s, d):
-    p = evidence_packages(s, d)
-    return p.select("cluster_id", "size", F.round("average_rating", 6).alias("average_rating"), F.round("csss", 6).alias("csss"), F.round("opportunity_score", 6).alias("opportunity_score"), F.concat_ws(",", F.transform("medoids", lambda m: m["id"])).alias("medoid_ids"), F.concat_ws(",", F.transform("themes", lambda t: t["term"])).alias("terms"))
+    """The figures of all evidence packages, without anchors."""
+    p = packages(current(s, d), table(s, d, "review_embeddings"), table(s, d, "clusters"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return p.select("cluster_id", "size", F.round("average_rating", 6).alias("average_rating"), F.round("csss", 6).alias("csss"), F.round("opportunity_score", 6).alias("opportunity_score"), size("medoids").cast("bigint").alias("n_medoids"), size("outliers").alias("n_outliers"))
 
 
 @query()
@@ -518,11 +574,6 @@ def dedup_exact_id(s, d):
     return firsts.groupBy((1 + F.col("landing_id") % 10).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def tpch_customer_totals(s, d):
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 @query("SELECT event_type, date_trunc('hour', ts) AS \"hour\", count(*) AS n FROM events GROUP BY 1, 2")
 def stm_counts(s, d):
     """The batch form of the running counts."""

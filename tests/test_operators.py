@@ -4,10 +4,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from opinara.operators import metrics, records, routing
+from opinara.functions import text as tx
+from opinara.operators import metrics, records, routing, search
 from opinara.operators.dedup import near_duplicates
-from opinara.operators.evidence import source_synergy
-from opinara.operators.filters import ReviewFilter, preprocess
+from opinara.operators.evidence import filtered_packages, source_synergy
+from opinara.operators.filters import ReviewFilter, preprocess, process_reviews
 from opinara.operators.leader import Leaders, leader_follower, split_two
 from opinara.operators.search import against
 from opinara.operators.themes import term_weights
@@ -68,10 +69,10 @@ def test_filters(spark):
 
 
 def test_preprocess_chain(spark):
-    rows = [(1, "Good app", "en", "2026-08-01"), (2, "Smart Shuffle is bad", "en", "2026-08-01"), (3, "   ", "en", "2026-08-01"), (4, "old but long enough text here", "en", "2020-01-01"), (5, "ce texte est en français seulement", "fr", "2026-08-01"), (6, "ye app bahut achha hai bhai", "so", "bad date")]
+    rows = [(1, "Good app", "en", "2026-08-01"), (2, "Smart Shuffle is bad", "en", "2026-08-01"), (3, "   ", "en", "2026-08-01"), (4, "old but long enough text here", "en", "2020-01-01"), (5, "ce texte est en français seulement", "fr", "2026-08-01"), (6, "ye app bahut achha hai bhai", "so", "bad date"), (7, "old with a zone and long enough", "en", "2020-01-01T10:00:00+05:30"), (8, "old without any zone but long enough", "en", "2020-01-01T10:00:00")]
     df = spark.createDataFrame(rows, "n int, raw_text string, detected_language string, published_at string")
     got = {r["n"]: r["detected_language"] for r in preprocess(df, F.lit("2026-08-31").cast("timestamp")).collect()}
-    assert got == {2: "en", 6: "hinglish"}
+    assert got == {2: "en", 4: "en", 6: "hinglish", 8: "en"}
 
 
 def test_metrics_small(spark):
@@ -105,3 +106,57 @@ def test_cooccurrence_brute(spark):
     sets = {t: {r for q, r in pairs if q == t and r in "ab"} for t, _ in pairs}
     want = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.product(sets, sets) if sets[a] & sets[b]}
     assert got == want
+
+
+def test_whole_record_chain(spark):
+    long = " ".join(f"Sentence number {i} says that the shuffle repeats song {i * 7} again and again." for i in range(30))
+    rows = [(1, "the shuffle keeps playing the same songs every day", "en"), (2, "The shuffle keeps playing the same songs every day!", "en"), (3, long, "en"), (4, None, "en"), (5, "", None)]
+    df = spark.createDataFrame([(*r, None, "clash") for r in rows], "n int, raw_text string, detected_language string, published_at string, kept string")
+    got = {r["n"]: r for r in process_reviews(df, F.lit("2026-08-31").cast("timestamp"), "n", "n").collect()}
+    assert set(got) == {1, 3} and len(got[3]["cleaned_text"].split()) < 60 and got[1]["translated_text"] is None
+    assert process_reviews(df.limit(0), F.lit("2026-08-31").cast("timestamp"), "n", "n").count() == 0
+
+
+def test_small_side_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(30, 8)), rng.normal(size=(40, 8))
+    big = spark.createDataFrame([(f"a{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    small = spark.createDataFrame([(f"b{i}", v.tolist()) for i, v in enumerate(y)], "k string, w array<double>")
+    rows = lambda **o: {(r[0], r[1], round(r[2], 9)) for r in against(big, small, "id", "v", "k", "w", **o).collect()}
+    whole = rows(top=3), rows(least=0.2)
+    monkeypatch.setattr(search, "SMALL_SIDE", 1000)
+    assert (rows(top=3), rows(least=0.2)) == whole and len(whole[0]) == 90
+
+
+def test_gazetteer(spark):
+    texts = ["Flew from Navi Mumbai to goa", "Goan food in tamil nadu", "delhi", "new delhi and Punjab", None, "", "mumbai-goa"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.location_one(F.col("t")), tx.location_all(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["Mumbai", "Tamil Nadu", "Delhi NCR", "Delhi NCR", None, None, "Mumbai"]
+    assert [r[1] for r in got] == [["Goa", "Mumbai"], ["Tamil Nadu"], ["Delhi NCR"], ["Delhi NCR", "Punjab"], [], [], ["Goa", "Mumbai"]]
+
+
+def test_filtered_packages(spark):
+    """Window, sources and limit before all shares; ranked texts against a plain sort; a tag that anchors give."""
+    rng = np.random.default_rng(1)
+    rows, vecs = [], []
+    for i in range(60):
+        rows.append((f"r{i:02d}", f"c{i % 2}", "the shuffle repeats songs", None, 1 + i % 5, ["a", "b", "c"][i % 3], None, f"2026-03-{1 + i % 28:02d}"))
+        vecs.append((f"r{i:02d}", rng.normal(size=4).tolist()))
+    reviews = spark.createDataFrame(rows, "id string, cluster_id string, raw_text string, translated_text string, rating int, source string, metadata string, published_at string")
+    vectors = spark.createDataFrame(vecs, "id string, vector array<float>")
+    clusters = spark.createDataFrame([("c0", [1.0, 0.0, 0.0, 0.0], 0.9, 0.1, None)], "id string, centroid array<float>, mean_similarity double, variance double, last_updated timestamp")
+    anchors = spark.createDataFrame([("churn_indicator", [1.0, 0.0])], "name string, vector array<double>")
+    tag_vectors = spark.createDataFrame([("r00", [1.0, 0.1]), ("r03", [0.0, 1.0])], "id string, vector array<double>")
+    got = filtered_packages(reviews, vectors, clusters, start="2026-03-01", end="2026-03-20", sources=["a", "b"], limit=25, anchors=anchors, tag_vectors=tag_vectors, dimension=4).collect()
+    kept = sorted([r for r in rows if r[5] in "ab" and "2026-03-01" <= r[7] <= "2026-03-20"], key=lambda r: r[0])
+    kept = sorted(kept, key=lambda r: r[7], reverse=True)[:25]
+    assert sum(p["size"] for p in got) == 25 and [p["opportunity_score"] for p in got] == sorted((p["opportunity_score"] for p in got), reverse=True)
+    by = {p["cluster_id"]: p for p in got}
+    of = dict(vecs)
+    ids = [r[0] for r in kept if r[1] == "c0"]
+    sim = {i: of[i][0] / np.linalg.norm(of[i]) for i in ids}
+    assert by["c0"]["size"] == len(ids) and [m["id"] for m in by["c0"]["medoids"]] == sorted(ids, key=lambda i: (-sim[i], i))[:5]
+    assert {m["id"] for m in by["c0"]["outliers"]} == set(sorted(ids, key=lambda i: sim[i])[:3])
+    full = filtered_packages(reviews, vectors, clusters, anchors=anchors, tag_vectors=tag_vectors, dimension=4).where("cluster_id = 'c0'").first()
+    assert full["tag_distribution"] == {"churn_indicator": 1}
+    assert filtered_packages(reviews, vectors, clusters, start="2027-01-01", dimension=4).count() == 0
