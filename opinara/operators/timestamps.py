@@ -236,12 +236,15 @@ def normalise_timestamps(rows: DataFrame, locales: DataFrame, abbreviations: Dat
     fields = (*local_fields, *utc_fields)
     places = locales.select(folded_name(F.col("source_name")).alias("source_key"), folded_name(F.col("country_code")).alias("country_key"), F.col("zone_name"), (F.lower("date_order") == "mdy").alias("mdy")).dropDuplicates(["source_key", "country_key"])
     base = rows.select(F.col(id_col).alias("record_id"), folded_name(F.col("source")).alias("source_key"), folded_name(F.col("country")).alias("country_key"), *fields)
+    # blocks: ranges of the record id, cut before any work on the values so that sampling the ranges reads ids only
+    n_blocks = max(1, -(-len(fields) * rows.count() // block_rows))
+    base = base.repartitionByRange(n_blocks, "record_id").withColumn("block", F.spark_partition_id())
     melted = base.join(places, ["source_key", "country_key"], "left").select(
-        "record_id", F.coalesce("source_key", F.lit("")).alias("source_key"), "zone_name", F.when(F.col("country_key").isNull(), False).otherwise(F.col("mdy")).alias("mdy"),
+        "record_id", "block", F.coalesce("source_key", F.lit("")).alias("source_key"), "zone_name", F.when(F.col("country_key").isNull(), False).otherwise(F.col("mdy")).alias("mdy"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x"),
-    ).select("record_id", "source_key", "zone_name", "mdy", "x.field_name", "x.value").where(F.length(F.trim("value")) > 0)
+    ).select("record_id", "block", "source_key", "zone_name", "mdy", "x.field_name", "x.value").where(F.length(F.trim("value")) > 0)
     local = F.col("field_name").isin(*local_fields)
-    values = melted.select("record_id", "source_key", "field_name", "value", F.when(local, F.coalesce("zone_name", F.lit("UTC"))).otherwise(F.lit("UTC")).alias("local_zone"), F.col("mdy").alias("month_first"))
+    values = melted.select("record_id", "block", "source_key", "field_name", "value", F.when(local, F.coalesce("zone_name", F.lit("UTC"))).otherwise(F.lit("UTC")).alias("local_zone"), F.col("mdy").alias("month_first"))
     read = readings(values, abbreviations).where(F.size("readings") > 0)
 
     names = sorted({n + tail for n in NOTATIONS for tail in ("", "_month_first")} | {"seconds", "millis", "micros"})
@@ -249,12 +252,10 @@ def normalise_timestamps(rows: DataFrame, locales: DataFrame, abbreviations: Dat
     flat = computed(read.withColumnRenamed("readings", "_r"), readings=F.expr("array_sort(_r, (a, b) -> " + _ORDER + ")"))
     one = lambda k: F.get("readings", F.lit(k))
     flat = flat.select(
-        "record_id", "source_key", "field_name", "value",
+        "record_id", "source_key", "field_name", "value", "block",
         *[c for k in range(READINGS) for c in (code[one(k)["fmt"]].alias(f"f{k}"), one(k)["micros"].alias(f"m{k}"), one(k)["prior"].alias(f"p{k}"))],
     )
-    # blocks: ranges of the record id; the written table fixes them
-    n_blocks = max(1, -(-len(fields) * rows.count() // block_rows))
-    flat = written(flat.repartitionByRange(n_blocks, "record_id").withColumn("block", F.spark_partition_id()), "readings")
+    flat = written(flat, "readings")  # fixes the blocks
     keys = ["field_name", "source_key", "block"]
     kind = dict(flat.dtypes)
     summary = flat.groupBy(*keys).applyInPandas(lambda pdf: _summary(pdf), f"field_name string, source_key string, block int, cost array<double>, first_fmt array<bigint>, first_at array<bigint>, last_fmt array<bigint>, last_at array<bigint>")
