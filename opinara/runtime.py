@@ -23,10 +23,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where the setting is absent (tests)."""
+    """The shared folder named by the session; a temporary one only where it is unset and one machine does all work (tests)."""
     named = spark.conf.get(SHARED_DIR_KEY, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"{SHARED_DIR_KEY} is not set: executors need a shared folder, a local one would lie on one machine")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="opinara-")
