@@ -259,7 +259,7 @@ class _Batch:
 
 def identify(rows: DataFrame, samples: DataFrame, id_col: str = "landing_id", text_col: str = "raw_text", label_col: str | None = "detected_language") -> DataFrame:
     """One row per text: its language segments in order, each with a confidence."""
-    labelled = [(r[0], r[1]) for r in samples.select("lang", "sample_text").limit(SAMPLE_LIMIT).collect()]
+    labelled = [(r[0], r[1]) for r in samples.select("lang", "sample_text").orderBy(F.xxhash64("lang", "sample_text"), "lang", "sample_text").limit(SAMPLE_LIMIT).collect()]
     model, cache = train(labelled), {}
     if label_col:
         own = rows.select(F.struct(normal_label(F.col(label_col)).alias("lang"), F.col(text_col).alias("text")).alias("x")).where(F.col("x.lang").isin(*LANGUAGES) & (F.length("x.text") < 2000))
