@@ -109,10 +109,14 @@ def location_all(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(_places(c), lambda i: F.get(names, i))))
 
 
+def without_blanks(c: Column) -> Column:
+    """Lower-cased, without blanks; empty gives ''."""
+    return F.regexp_replace(F.lower(or_empty(c)), BLANKS, "")
+
+
 def shingles(c: Column, k: int = config.SHINGLE) -> Column:
     """Distinct k-character shingles of the lower-cased text without blanks; shorter texts give none."""
-    flat = F.regexp_replace(F.lower(or_empty(c)), BLANKS, "")
-    return F.array_distinct(F.regexp_extract_all(flat, F.lit(rf"(?s)(?=(.{{{k}}}))."), 1))
+    return F.array_distinct(F.regexp_extract_all(without_blanks(c), F.lit(rf"(?s)(?=(.{{{k}}}))."), 1))
 
 
 def device(c: Column) -> Column:

@@ -559,7 +559,7 @@ def clu_leader_follower(s, d):
 def dedup_minhash_sig(s, d):
     """Published md5 form of the signature, as one digest a text."""
     sh = shingled(reviews(s, d, "landing_id", "raw_text"), "landing_id", "raw_text", "landing_id")
-    return sh.select(F.col("k").alias("landing_id"), F.md5(F.concat_ws(",", signature(F.col("sh"), exact_md5=True))).alias("signature"))
+    return sh.select(F.col("k").alias("landing_id"), F.md5(F.concat_ws(",", signature(F.col("sh")))).alias("signature"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
 from opinara.operators import metrics, records, routing, search
-from opinara.operators.dedup import near_duplicates
+from opinara.operators.dedup import band_keys, near_duplicates, shingle_codes
 from opinara.operators.evidence import filtered_packages, source_synergy
 from opinara.operators.filters import ReviewFilter, preprocess, process_reviews
 from opinara.operators.leader import Leaders, leader_follower, split_two
@@ -50,6 +50,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == _brute(texts)
 
 
+def test_band_keys_are_independent():
+    """Texts that share a third of their shingles hardly ever share a band (nearly proportional hashes made all bands equal)."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = [t for _ in range(300) for c in [word(60)] for t in (c + word(62), c + word(62))]
+    keys = band_keys(*shingle_codes(texts)).reshape(300, 2, -1)
+    assert ((keys[:, 0] == keys[:, 1]).any(1)).mean() < 0.05
+    code, end = shingle_codes(["abcabc", "ab", "xyz\U0001f600"])
+    assert np.diff(end, prepend=0).tolist() == [3, 0, 2] and code[3] == (ord("x") << 42) + (ord("y") << 21) + ord("z")
+
+
 def test_terms_and_synergy(spark):
     rows = [("c1", "alpha alpha beta the"), ("c2", "beta gamma the"), ("c3", None), (None, "delta")]
     got = {(r[0], r[1]): r[2] for r in term_weights(spark.createDataFrame(rows, "g string, t string"), "g", "t").select("g", "term", "weight").collect()}
