@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinara import config
 
 SMALL_SIDE = 64 * 1024 * 1024  # bytes of vectors that go to every worker at once
+TILE = 16 * 1024 * 1024  # bytes of cosines that a worker holds at once
 
 
 def _blocks(df: DataFrame, key: str, vector: str) -> list[DataFrame]:
@@ -19,21 +20,21 @@ def _blocks(df: DataFrame, key: str, vector: str) -> list[DataFrame]:
     return [df.where(F.pmod(F.xxhash64(key), F.lit(many)) == i) for i in range(many)] if many > 1 else [df]
 
 
-def _gathered(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
+def _gathered(df: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and unit vectors of a part whose size is bounded."""
     rows = df.select(key, vector).orderBy(key).collect()
     if not rows:
-        return [], np.zeros((0, 0), np.float32)
+        return np.empty(0, object), np.zeros((0, 0), np.float32)
     x = np.array([r[1] for r in rows], np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return [r[0] for r in rows], np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.array([r[0] for r in rows] + [None], object)[:-1], np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key: str, small_vector: str, *, top: int | None = None, least: float | None = None) -> DataFrame:
     """(key, other, cosine) of every row of ``big`` with the rows of ``small``: the ``top`` best, or all of at least ``least``.
 
     ``small`` goes to the workers in parts of bounded size, however large it is; ``big`` is streamed once a part and
-    never shuffled.  With several parts the best of each are merged to the ``top`` best of all.  Ties go to the
+    never shuffled; a worker compares so many of its rows at a time that their cosines fit ``TILE``.  With several parts the best of each are merged to the ``top`` best of all.  Ties go to the
     smaller key of ``small``; a zero vector has cosine 0 with everything.
     """
     parts = [_against(big, part, key, vector, small_key, small_vector, top, least) for part in _blocks(small, small_key, small_vector)]
@@ -53,21 +54,22 @@ def _against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key:
 
     def run(parts):  # noqa: ANN001, ANN202
         names, m = shared.value
-        for pdf in parts:
-            if not len(pdf) or not names:
-                continue
-            v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ m.T
-            if top is not None:
-                order = np.argsort(-s, 1, kind="stable")[:, :top]
-                i = np.repeat(np.arange(len(v)), order.shape[1])
-                j = order.ravel()
-            else:
-                i, j = np.nonzero(s >= (least if least is not None else -2))
-            if not len(i):
-                continue
-            yield pd.DataFrame({key: pdf[key].to_numpy()[i], "other": [names[k] for k in j], "cosine": s[i, j]})
+        step = max(1, TILE // (8 * max(1, len(names))))
+        for whole in parts:
+            for at in range(0, len(whole) if len(names) else 0, step):
+                pdf = whole.iloc[at : at + step]
+                v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                s = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ m.T
+                if top == 1:
+                    i, j = np.arange(len(v)), s.argmax(1)  # the first of equal ones, as below
+                elif top is not None:
+                    order = np.argsort(-s, 1, kind="stable")[:, :top]
+                    i, j = np.repeat(np.arange(len(v)), order.shape[1]), order.ravel()
+                else:
+                    i, j = np.nonzero(s >= (least if least is not None else -2))
+                if len(i):
+                    yield pd.DataFrame({key: pdf[key].to_numpy()[i], "other": names[j], "cosine": s[i, j]})
 
     return big.select(key, vector).mapInPandas(run, f"{key} {types[0]}, other {types[1]}, cosine double")
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
@@ -139,6 +140,26 @@ def test_small_side_in_parts(spark, monkeypatch):
     assert (rows(top=3), rows(least=0.2)) == whole and len(whole[0]) == 90
 
 
+def test_cosines_in_tiles(spark, monkeypatch):
+    """A worker never holds the cosines of a whole batch of rows."""
+    most = []
+    monkeypatch.setattr(search, "TILE", 8 * 40 * 3)
+    x, y = np.random.default_rng(1).normal(size=(30, 8)), np.random.default_rng(2).normal(size=(40, 8))
+    big = pd.DataFrame({"id": np.arange(30), "v": list(x)})
+    small = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "k bigint, w array<double>")
+
+    class Big:
+        sparkSession, dtypes = spark, [("id", "bigint"), ("v", "array<double>")]
+        select = lambda self, *c: self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            for pdf in run(iter([big])):
+                most.append(len(pdf))
+
+    search._against(Big(), small, "id", "v", "k", "w", None, -2.0)
+    assert most == [3 * 40] * 10
+
+
 def test_gazetteer(spark):
     texts = ["Flew from Navi Mumbai to goa", "Goan food in tamil nadu", "delhi", "new delhi and Punjab", None, "", "mumbai-goa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.location_one(F.col("t")), tx.location_all(F.col("t"))).collect()
