@@ -32,8 +32,8 @@ def p8_bins(spark: SparkSession, d: str) -> DataFrame:
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    counted = count_tokens(docs.select("doc_id", "source", "lang", "text"), keep=("source", "lang"), topic=topics.fitted(docs.select("text")))
-    return written(counted, "document-tokens")
+    counted = written(count_tokens(docs.select("doc_id", "source", "lang", "text"), keep=("source", "lang"), words=topics.coded), "document-words")
+    return written(topics.labelled(counted, topics.fitted(counted.select("words"))), "document-tokens")
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:

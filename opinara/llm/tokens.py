@@ -32,18 +32,17 @@ def encoder(path: str):  # noqa: ANN201
     return _encoders[path]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), path: str | None = None, topic: Callable[[list[str | None]], list[str]] | None = None) -> DataFrame:
-    """Rows of (id, kept columns, n_tokens, and topic where a model is given); null and empty texts have 0 tokens."""
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), path: str | None = None, words: Callable[[str | None], bytes] | None = None) -> DataFrame:
+    """Rows of (id, kept columns, n_tokens, and coded words where a coding is given); null and empty texts have 0 tokens."""
     types = dict(docs.dtypes)
     cols = [id_col, *keep]
     path = path or docs.sparkSession.conf.get(PATH_SETTING, TOKENIZER_PATH)
-    shared = docs.sparkSession.sparkContext.broadcast(topic) if topic else None  # centroids of fixed number and size
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in parts:
             out = pdf[cols].assign(n_tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text_col]])
-            yield out.assign(topic=shared.value(pdf[text_col].tolist())) if shared else out
+            yield out.assign(words=[words(t) for t in pdf[text_col]]) if words else out
 
-    schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", n_tokens bigint" + (", topic string" if topic else "")
+    schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", n_tokens bigint" + (", words binary" if words else "")
     return spread(docs.select(*cols, text_col), id_col).mapInPandas(run, schema)

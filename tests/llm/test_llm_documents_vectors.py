@@ -83,6 +83,20 @@ def test_topics(spark):
     assert {r["margin"] for r in rows} == {"lang", "topic"} and all(abs(r["pool_share"] - r["actual_share"]) < 0.02 for r in rows)
 
 
+def test_topics_of_all_documents(spark):
+    """Every document counts in the weights and centroids: more than 4,000 of them, once a limit."""
+    texts = [f"guitar drums melody chorus {'solo' * (i % 3)}" for i in range(4500)] + [f"invoice refund payment charge {'late' * (i % 3)}" for i in range(1500)]
+    docs = spark.createDataFrame([(i, topics.coded(t)) for i, t in enumerate([*texts, "", None, "a b"])], "doc_id int, words binary")
+    m = topics.fitted(docs.select("words"), 2)
+    place = list(topics.word_counts("refund"))[0]
+    assert abs(m.weight[place] - np.log(1 + 6000 / 1500)) < 1e-6
+    got = [r["topic"] for r in topics.labelled(docs, m).orderBy("doc_id").collect()]
+    assert len(set(got[:4500])) == len(set(got[4500:6000])) == 1 and got[0] != got[4500] and got[6000:] == ["none"] * 3
+    assert got[:6000:1000] == m(texts)[::1000]
+    none = topics.fitted(docs.where("doc_id >= 6000").select("words"), 2)
+    assert [r["topic"] for r in topics.labelled(docs.limit(2), none).collect()] == ["none"] * 2
+
+
 def test_rake_margins():
     t = np.array([10.0, 20, 30, 40])
     w = rake(t, [np.array([50.0, 50]), np.array([40.0, 60])], [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], np.full(4, 9.0))
