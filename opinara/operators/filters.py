@@ -110,7 +110,8 @@ def preprocess(df: DataFrame, now: Column, *, lang: str = "detected_language", t
     df = df.withColumn("_label", tx.language_policy(F.lower(F.coalesce(F.nullif(F.trim(lang), F.lit("")), F.lit("en"))), F.col("_clean"))).where("_label is not null")
     moved = translate(F.col("_clean"), F.col("_label")) if translate else F.col("_clean")
     df = df.withColumn("cleaned_text", tx.strip_details(F.when(F.col("_label") == "en", F.col("_clean")).otherwise(moved)))
-    df = df.where(~short(F.col("cleaned_text"), keywords))
+    # bound in a lambda, the cleaned text is made once for all keywords
+    df = df.where(~F.exists(F.array("cleaned_text"), lambda t: short(t, keywords)))
     return df.withColumns({
         "location": F.coalesce(tx.location_one(F.col("raw_text")), tx.location_one(F.col("cleaned_text"))),
         "translated_text": F.when(F.col("_label") != "en", F.col("cleaned_text")),

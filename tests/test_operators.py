@@ -87,6 +87,14 @@ def test_preprocess_chain(spark):
     assert got == {2: "en", 4: "en", 6: "hinglish", 8: "en"}
 
 
+def test_preprocess_cleans_once(spark):
+    """The condition on the length does not repeat the cleaning of a text for every keyword."""
+    df = spark.createDataFrame([("the shuffle keeps playing songs", "en", None)], "raw_text string, detected_language string, published_at string")
+    plan = preprocess(df, F.lit("2026-08-31").cast("timestamp"))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all(line.count("https?://") <= 1 for line in filters)
+
+
 def test_metrics_small(spark):
     df = spark.createDataFrame([("c1", 5), ("unrelated_ads", 1), (None, None), ("c1", 4)], "cluster_id string, rating int")
     r = metrics.split_ratio(df).first()
