@@ -168,6 +168,24 @@ def test_cosines_in_tiles(spark, monkeypatch):
     assert most == [3 * 40] * 10
 
 
+def test_nearest_in_tiles(spark, monkeypatch):
+    """The nearest centroid is found a few rows at a time, and of equal ones that with the smaller key."""
+    monkeypatch.setattr(search, "TILE", 8 * 3 * 2)
+    big = pd.DataFrame({"id": np.arange(5), "v": [np.array([1.0, i]) for i in range(5)]})
+    small = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "k string, w array<double>")
+    got = []
+
+    class Big:
+        sparkSession, dtypes = spark, [("id", "bigint"), ("v", "array<double>")]
+        select = lambda self, *c: self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            got.extend(pdf["other"].tolist() for pdf in run(iter([big])))
+
+    search._against(Big(), small, "id", "v", "k", "w", 1, None)
+    assert [len(x) for x in got] == [2, 2, 1] and sum(got, [])[::2] == ["a", "c", "c"]
+
+
 def test_gazetteer(spark):
     texts = ["Flew from Navi Mumbai to goa", "Goan food in tamil nadu", "delhi", "new delhi and Punjab", None, "", "mumbai-goa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.location_one(F.col("t")), tx.location_all(F.col("t"))).collect()
