@@ -5,8 +5,9 @@ the seeds so far, weighs the candidates by the vectors nearest to them and reduc
 spherical k-means follow.  Every vector is then assigned to its nearest cells: those of the ``CLOSE`` nearest whose
 centroid is at least as similar as two linked vectors must be, or else the ``WIDE`` nearest.  Inside the cells vectors that surely have the
 wanted cosine are linked; links are joined to components by alternating large and small stars.  Cells do not bring every
-pair together, so an exact pass compares all pairs of blocks of vectors and joins the components it finds linked.  Its
-work grows with the square of the vectors.
+pair together, so an exact pass over all vectors joins the components that hold a linked pair.  It compares every vector
+with the centres of all components, and by itself only with vectors that this does not refuse; its work grows with
+vectors times components.
 
 Defined results: unusable vectors and ids without one take no part; a repeated id counts once; equal vectors always
 belong together; the first id of a cluster is its smallest; an empty table gives no clusters.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm.vectors import SALTS, Prepared, blocks, by_block, packed, stacked, unit, unpacked
-from opinara.runtime import drop_written, written
+from opinara.runtime import drop_written, parallelism, written
 
 LINK = 0.60
 CENTRES = (8, 32_768)
@@ -32,6 +33,11 @@ ROUNDS = 2
 CLOSE, WIDE = 2, 6
 STAR_ROUNDS = 60
 EXACT_ROWS = 2048
+PART_ROWS = 16 * EXACT_ROWS  # vectors that go to every worker at once, by way of the driver: 24 MB, and 48 MB in a worker
+CORE = 0.75
+PAYS = 4  # vectors a group from which comparing with centres is cheaper than with all vectors
+BOUND_TILE = 4_194_304  # bounds that a worker holds at once
+SLACK = 1e-5  # of a bound, for its rounding
 PACKED_MARGIN, MARGIN = 2e-4, 2e-6  # most that 12 and 16 bits a component change a cosine
 TYPICAL = 5
 
@@ -180,18 +186,131 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def tight(x: np.ndarray, label: np.ndarray, core: float) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sizes): rows of equal label as groups in which every row has at least the cosine ``core`` to the centre of
+    its group; rows farther off are groups of their own."""
+    order, sizes, single = [], [], []
+    for rows in np.split(np.argsort(label, kind="stable"), np.cumsum(np.unique(label, return_counts=True)[1])[:-1]):
+        while len(rows) > 1:
+            total = x[rows].sum(0)
+            far = x[rows] @ total < core * np.linalg.norm(total)
+            if not far.any():
+                break
+            single.append(rows[far])
+            rows = rows[~far]
+        if len(rows):
+            order.append(rows)
+            sizes.append(len(rows))
+    alone = np.concatenate([np.zeros(0, np.int64), *single])
+    return np.concatenate([*order, alone]).astype(np.int64), np.array(sizes + [1] * len(alone), np.int32)
+
+
+class Groups:
+    """Groups of rows that follow each other.  A row ``x`` of the group with centre ``a`` is ``alpha a + rest``, the rest of length ``r`` and
+    orthogonal to ``a``.  For a row ``y = beta b + rest`` of another group the cosine is at most
+    ``alpha beta ab + alpha a.rest_y + beta b.rest_x + r_x r_y``, so that of a pair of at least ``least`` one row, say ``y``,
+    has ``alpha a.(y - beta b / 2) + r_x r_y / 2`` of at least half of it.  The largest ``alpha`` and ``r`` of a group bound that
+    for all its rows, as long as no ``r_x r_y`` exceeds ``least``: one product of ``half`` and ``whole`` refuses whole groups."""
+
+    def __init__(self, x: np.ndarray, sizes: np.ndarray) -> None:
+        self.x, self.sizes = x, sizes.astype(np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        centre = np.add.reduceat(x, self.start, 0)
+        centre /= np.sqrt(np.einsum("ij,ij->i", centre, centre))[:, None]
+        self.of = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.alpha = np.einsum("ij,ij->i", x, centre[self.of])
+        rest = x - self.alpha[:, None] * centre[self.of]
+        self.r = np.sqrt(np.einsum("ij,ij->i", rest, rest))
+        self.top, self.wide = np.maximum.reduceat(self.alpha, self.start), np.maximum.reduceat(self.r, self.start)
+        self.half = np.hstack([rest + (self.alpha / 2)[:, None] * centre[self.of], (self.r / 2)[:, None]])
+        self.whole = np.hstack([centre * self.top[:, None], self.wide[:, None]])
+
+
+def linked(mine: Groups, label: np.ndarray, part: Groups, other: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of different labels of linked rows of ``mine`` and ``part``, of which the row of ``mine`` is the one the bound names."""
+    found, floor = [np.zeros((0, 2), np.int64)], least / 2 - SLACK
+    owner = other[part.start]
+    step = max(1, BOUND_TILE // len(part.sizes))
+    for a in range(0, len(label), step):
+        s = mine.half[a : a + step] @ part.whole.T
+        y, g = np.nonzero(s >= floor)
+        s, y = s[y, g], y + a
+        keep = label[y] != owner[g]
+        s, y, g = s[keep], y[keep], g[keep]
+        c = (s - mine.r[y] / 2 * part.wide[g]) / part.top[g]
+        ends = np.cumsum(part.sizes[g])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, BOUND_TILE // 4), "right"))
+        for lo, hi in zip(cuts, [*cuts[1:], len(y)]):
+            n = part.sizes[g[lo:hi]]
+            at = np.repeat(np.arange(lo, hi), n)
+            x = np.arange(len(at)) - np.repeat(np.cumsum(n) - n - part.start[g[lo:hi]], n)
+            keep = c[at] * part.alpha[x] + mine.r[y[at]] / 2 * part.r[x] >= floor
+            at, x = y[at[keep]], x[keep]
+            for i in range(0, len(x), EXACT_ROWS):
+                u, v = at[i : i + EXACT_ROWS], x[i : i + EXACT_ROWS]
+                hit = np.einsum("ij,ij->i", mine.x[u], part.x[v]) >= least - MARGIN
+                found.append(np.stack([label[u[hit]], other[v[hit]]], 1))
+    return np.unique(np.sort(np.vstack(found), 1), axis=0)
+
+
 def missed_links(p: Prepared, found: DataFrame, least: float) -> DataFrame:
-    """(u, v): the labels, u > v, of linked vectors of different components, by comparing all vectors at 16 bits."""
+    """(u, v): the labels, u > v, of linked vectors of different components, of all vectors at 16 bits.
+
+    The vectors are cut into groups around the centres of their components, and every vector is compared with every centre;
+    only pairs that :class:`Groups` cannot refuse are compared themselves.  Where there are too few vectors a group for
+    that to pay, all pairs of blocks are compared.
+    """
+    spark = p.classes.sparkSession
+    core = max(CORE, math.sqrt(max(0.0, 1 - least)) + 0.01)
     # joined the same way at every size: a broadcast of the labels would not be bounded
     rows = p.classes.join(found.hint("shuffle_hash"), "h", "left").select("h", F.coalesce("label", "h").alias("label"), "q")
+    rows = rows.repartitionByRange("label", "h").sortWithinPartitions("label", "h")
 
     def gather(parts):  # noqa: ANN001, ANN202
         for batch in parts:
             for at in range(0, len(batch), EXACT_ROWS):  # a block is named by its first vector
                 t = batch.slice(at, EXACT_ROWS)
-                yield pa.RecordBatch.from_arrays([t.column("h").slice(0, 1), pa.array([t.column("label").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(t.column("q").to_pylist())], pa.binary())], names=["b", "labels", "q"])
+                q, label = stacked(t.column("q")), t.column("label").to_numpy()
+                order, sizes = tight(unit(q), label, core)
+                yield pa.RecordBatch.from_arrays([t.column("h").slice(0, 1), pa.array([len(t)], pa.int32()), pa.array([len(sizes)], pa.int32()), pa.array([label[order].tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([q[order].tobytes()], pa.binary())], names=["b", "n", "g", "labels", "sizes", "q"])
+
+    whole = written(rows.mapInArrow(gather, "b bigint, n int, g int, labels binary, sizes binary, q binary"), "exact-blocks")
+    counts = whole.select("b", "n", "g").orderBy("b").collect()
+    if sum(r["g"] for r in counts) * PAYS > sum(r["n"] for r in counts):
+        return _all_pairs(whole, least)
+    per = max(1, PART_ROWS // EXACT_ROWS)
+    bounds = [r["b"] for r in counts[::per]]
+
+    def against(low: int, high: int | None) -> DataFrame:
+        """Links of all blocks with those named from ``low`` to below ``high``, which go to every worker."""
+        some = whole.where(F.col("b") >= low) if high is None else whole.where((F.col("b") >= low) & (F.col("b") < high))
+        got = some.select("labels", "sizes", "q").collect()
+        shared = spark.sparkContext.broadcast([[r[c] for r in got] for c in ("labels", "sizes", "q")])
+        del got
+
+        def compare(parts):  # noqa: ANN001, ANN202
+            other, sizes, q = (np.frombuffer(b"".join(v), kind) for v, kind in zip(shared.value, (np.int64, np.int32, np.int16)))
+            part = Groups(unit(q.reshape(len(other), -1)), sizes)
+            for batch in parts:
+                for labels, sizes, q in zip(*(batch.column(c).to_pylist() for c in ("labels", "sizes", "q"))):
+                    label = np.frombuffer(labels, np.int64)
+                    mine = Groups(unit(np.frombuffer(q, np.int16).reshape(len(label), -1)), np.frombuffer(sizes, np.int32))
+                    pairs = linked(mine, label, part, other, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["u", "v"])
+
+        few = whole.select("labels", "sizes", "q").coalesce(2 * parallelism(spark))  # every task prepares the part
+        links = written(few.mapInArrow(compare, "u bigint, v bigint").distinct(), "exact-links")
+        shared.destroy()  # also the driver's copy
+        return links
+
+    out = None
+    for low, high in zip(bounds, [*bounds[1:], None]):
+        links = against(low, high)
+        out = links if out is None else out.unionByName(links)
+    return out
+
 
-    whole = written(rows.mapInArrow(gather, "b bigint, labels binary, q binary"), "exact-blocks")
+def _all_pairs(whole: DataFrame, least: float) -> DataFrame:
     one, two = (whole.select(*[F.col(c).alias(f"{c}{k}") for c in whole.columns]) for k in (1, 2))
 
     def compare(parts):  # noqa: ANN001, ANN202

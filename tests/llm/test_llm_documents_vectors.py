@@ -215,6 +215,48 @@ def test_clusters_whose_vectors_share_no_cell(spark, monkeypatch):
     assert got == {("r0", "r0"), ("r0", "r1"), ("r0", "r2")}
 
 
+def test_bound_of_groups_refuses_no_link():
+    """Every linked pair is named by one of its rows, whatever the groups: correlated centres, loose rows, rows apart."""
+    rng = np.random.default_rng(4)
+    named = 0
+    for noise in (0.2, 0.6, 0.9, 1.2):
+        c = rng.normal(size=(30, 24)) + 1.5 * rng.normal(size=24)
+        x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 10, 0) + noise * rng.normal(size=(300, 24)) / np.sqrt(24)
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        label = np.repeat(np.arange(30), 10)
+        order, sizes = clustering.tight(x, label, 0.75)
+        assert sorted(order) == list(range(300)) and sizes.sum() == 300
+        x, label = x[order], label[order]
+        one = clustering.Groups(x, sizes)
+        assert one.alpha.min() >= 0.75 - 1e-6
+        got = {tuple(p) for p in clustering.linked(one, label, one, label, 0.6)}
+        u, v = np.nonzero(x @ x.T >= 0.6)
+        want = {(min(a, b), max(a, b)) for a, b in zip(label[u], label[v]) if a != b}
+        assert got == want
+        named += len(want)
+    assert named > 100
+
+
+def test_missed_links_in_parts(spark, monkeypatch):
+    """Groups torn apart are joined again by comparing with centres, not all pairs; parts of one block each."""
+    monkeypatch.setattr(clustering, "EXACT_ROWS", 64)
+    monkeypatch.setattr(clustering, "PART_ROWS", 64)
+    monkeypatch.setattr(clustering, "_all_pairs", None)
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(8, 384))
+    x = np.repeat(c / np.linalg.norm(c, axis=1, keepdims=True), 40, 0) + 0.6 * rng.normal(size=(320, 384)) / np.sqrt(384)
+    df = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    p = vectors.prepared(df)
+    h = {r["id"]: r["h"] for r in p.ids.collect()}
+    part = [i // 10 for i in range(320)]
+    first = {k: min(h[f"r{i:03d}"] for i in range(320) if part[i] == k) for k in set(part)}
+    found = spark.createDataFrame([(h[f"r{i:03d}"], first[part[i]]) for i in range(320)], "h bigint, label bigint")
+    got = {(r["u"], r["v"]) for r in clustering.missed_links(p, found, 0.6).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(first[part[i]], first[part[j]]) for i, j in zip(*np.nonzero(u @ u.T >= 0.6)) if first[part[i]] > first[part[j]]}
+    assert got == want and len(want) >= 8 * 3
+
+
 def test_components_of_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "u bigint, v bigint")
     got = {r["h"]: r["label"] for r in clustering.components(edges).collect()}
