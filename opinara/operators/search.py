@@ -11,6 +11,7 @@ from opinara import config
 
 SMALL_SIDE = 64 * 1024 * 1024  # bytes of vectors that go to every worker at once
 TILE = 16 * 1024 * 1024  # bytes of cosines that a worker holds at once
+NEAR = 1e-12  # cosines of a product of matrices, which sums in an order that varies with the place of a row, are off by far less
 
 
 def _blocks(df: DataFrame, key: str, vector: str) -> list[DataFrame]:
@@ -21,13 +22,49 @@ def _blocks(df: DataFrame, key: str, vector: str) -> list[DataFrame]:
 
 
 def _gathered(df: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and unit vectors of a part whose size is bounded."""
+    """Keys and vectors, in their own precision, of a part whose size is bounded."""
+    kind = np.float32 if dict(df.dtypes)[vector] == "array<float>" else np.float64
     rows = df.select(key, vector).orderBy(key).collect()
     if not rows:
-        return np.empty(0, object), np.zeros((0, 0), np.float32)
-    x = np.array([r[1] for r in rows], np.float64)
+        return np.empty(0, object), np.zeros((0, 0), kind)
+    return np.array([r[0] for r in rows] + [None], object)[:-1], np.array([r[1] for r in rows], kind)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.array([r[0] for r in rows] + [None], object)[:-1], np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of ``x`` with those of ``y``, summed component by component as in SQL: equal rows give equal cosines."""
+
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.add.accumulate(a * b, axis=1)[:, -1]
+
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    size = np.sqrt(dot(x, x) * dot(y, y))
+    return np.divide(dot(x, y), size, out=np.zeros(len(x)), where=size > 0)
+
+
+def _best(s: np.ndarray, v: np.ndarray, m: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and cosines of the ``top`` best columns of every row of ``s``, the smaller column first of equal ones.
+
+    Whatever lies within ``NEAR`` of the last place is compared by the cosines of :func:`_cosines`, so many pairs at a time that they fit ``TILE``.
+    """
+    if top < s.shape[1]:
+        last = s.max(1) if top == 1 else np.partition(s, -top, axis=1)[:, -top]
+        i, j = np.nonzero(s >= last[:, None] - NEAR)
+    else:
+        i, j = np.repeat(np.arange(len(s)), s.shape[1]), np.tile(np.arange(s.shape[1]), len(s))
+    c, step = np.empty(len(i)), max(1, TILE // (8 * max(1, v.shape[1])))
+    for at in range(0, len(i), step):
+        part = slice(at, at + step)
+        c[part] = _cosines(v[i[part]], m[j[part]])
+    order = np.lexsort((j, -c, i))
+    i, j, c = i[order], j[order], c[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < top
+    return i[kept], j[kept], c[kept]
 
 
 def against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key: str, small_vector: str, *, top: int | None = None, least: float | None = None) -> DataFrame:
@@ -54,22 +91,20 @@ def _against(big: DataFrame, small: DataFrame, key: str, vector: str, small_key:
 
     def run(parts):  # noqa: ANN001, ANN202
         names, m = shared.value
+        units = _unit(m).T
         step = max(1, TILE // (8 * max(1, len(names))))
         for whole in parts:
             for at in range(0, len(whole) if len(names) else 0, step):
                 pdf = whole.iloc[at : at + step]
-                v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ m.T
-                if top == 1:
-                    i, j = np.arange(len(v)), s.argmax(1)  # the first of equal ones, as below
-                elif top is not None:
-                    order = np.argsort(-s, 1, kind="stable")[:, :top]
-                    i, j = np.repeat(np.arange(len(v)), order.shape[1]), order.ravel()
+                v = np.stack(pdf[vector].to_numpy())
+                s = _unit(v) @ units
+                if top is not None:
+                    i, j, c = _best(s, v, m, top)
                 else:
                     i, j = np.nonzero(s >= (least if least is not None else -2))
+                    c = s[i, j]
                 if len(i):
-                    yield pd.DataFrame({key: pdf[key].to_numpy()[i], "other": names[j], "cosine": s[i, j]})
+                    yield pd.DataFrame({key: pdf[key].to_numpy()[i], "other": names[j], "cosine": c})
 
     return big.select(key, vector).mapInPandas(run, f"{key} {types[0]}, other {types[1]}, cosine double")
 

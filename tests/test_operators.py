@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
@@ -186,6 +187,21 @@ def test_nearest_in_tiles(spark, monkeypatch):
     assert [len(x) for x in got] == [2, 2, 1] and sum(got, [])[::2] == ["a", "c", "c"]
 
 
+@pytest.mark.parametrize("part", [1 << 26, 1 << 19])
+def test_nearest_of_equal_centroids(spark, monkeypatch, part):
+    """Of centroids with equal values that with the smallest key is nearest, wherever they stand, in one part and in several."""
+    monkeypatch.setattr(search, "SMALL_SIDE", part)
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(900, 384)).astype(np.float32)
+    which = rng.permutation(np.repeat(np.arange(900), 3))
+    v = (c[rng.integers(0, 900, 2000)] + rng.normal(size=(2000, 384))).astype(np.float32)
+    small = spark.createDataFrame(pd.DataFrame({"k": np.arange(2700), "w": list(c[which])}))
+    big = spark.createDataFrame(pd.DataFrame({"id": np.arange(2000), "v": list(v)})).coalesce(1)
+    got = {r["id"]: r["other"] for r in against(big, small, "id", "v", "k", "w", top=1).collect()}
+    cosines = (v.astype(float) @ c.T) / np.linalg.norm(c.astype(float), axis=1)
+    assert got == {i: int(np.argmax(which == k)) for i, k in enumerate(cosines.argmax(1))}
+
+
 def test_gazetteer(spark):
     texts = ["Flew from Navi Mumbai to goa", "Goan food in tamil nadu", "delhi", "new delhi and Punjab", None, "", "mumbai-goa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.location_one(F.col("t")), tx.location_all(F.col("t"))).collect()
